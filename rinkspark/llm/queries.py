@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import packed_values
 from ..sources.tables import table
+from . import leakage as s8
 from . import survivorship as s1
 from . import topn as s7
 
@@ -47,10 +48,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return s7.top_n(current, ["board_id", "role_group"], "adjusted_ppg", ["player_id"], 3, "role_rank").select("board_id", "role_group", "role_rank", "player_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = s8.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.filter(F.col("words") >= s8.WINDOW).select("doc_id", "item_id").distinct()
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return s8.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("errors > 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_golden_lines": p1_golden_lines,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
 }
 
 SQL: dict[str, str] = {
