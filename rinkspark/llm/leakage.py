@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .words import words
 
-WINDOW, ERRORS = 12, 1
+WINDOW, ERRORS = 12, 1  # one_error_reach holds for a budget of one
 PIECE = WINDOW // (ERRORS + 2)
 #: Items in one automaton (some 10 kB each when built).
 ITEM_BLOCK = 5_000
@@ -67,6 +67,18 @@ def exact_run(item: list[str], at: int, text: list[str], pos: int) -> tuple[int,
     return at - left, left + right
 
 
+def one_error_reach(item: list[str], start: int, text: list[str], first: int, run: int) -> int:
+    """Most item words that a window can match if one word is unequal, missing or added at an end of an exact run."""
+    best = 0
+    for i, p, step in ((start + run, first + run, 1), (start - 1, first - 1, -1)):
+        for di, dp in ((1, 1), (0, 1), (1, 0)):
+            a, b, n = i + di * step, p + dp * step, 0
+            while 0 <= a < len(item) and 0 <= b < len(text) and n < WINDOW and item[a] == text[b]:
+                a, b, n = a + step, b + step, n + 1
+            best = max(best, n)
+    return run + best
+
+
 @lru_cache(maxsize=2)
 def _automaton(items: tuple[tuple[int, str], ...]):
     import ahocorasick
@@ -91,12 +103,15 @@ def leaks_in(text: str | None, machine, parsed) -> list[tuple[int, int, int]]:
     if len(have) < WINDOW - ERRORS:
         return []
     line, best = f" {' '.join(have)} ", {}
+    hits = list(machine.iter(line))
+    if not hits:
+        return []
     starts: dict[int, int] = {}
     at = 0
     for k, w in enumerate(have):
         starts[at] = k
         at += len(w) + 1
-    for end, (length, places) in machine.iter(line):
+    for end, (length, places) in hits:
         pos = starts[end - length + 1]
         for n, at in places:
             item_id, item = parsed[n]
@@ -105,7 +120,9 @@ def leaks_in(text: str | None, machine, parsed) -> list[tuple[int, int, int]]:
                 continue  # inside the run that is already counted
             start, run = exact_run(item, at, have, pos)
             errors = 0
-            if run < WINDOW:  # one unequal word may stand in a window: measure every window with this piece
+            if run < WINDOW:
+                if one_error_reach(item, start, have, pos - (at - start), run) < WINDOW - ERRORS:
+                    continue  # no window with this piece can be within the budget
                 errors = WINDOW
                 around = have[max(0, pos - WINDOW - ERRORS) : pos + WINDOW + ERRORS]
                 for s in range(max(0, at + PIECE - WINDOW), min(at, len(item) - WINDOW) + 1):
