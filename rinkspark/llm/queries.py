@@ -12,6 +12,7 @@ from ..sources.tables import table
 from . import leakage as s8
 from . import survivorship as s1
 from . import topn as s7
+from . import truncation as s10
 
 LINE_FIELDS = ("games", "goals", "assists", "points", "age", "shots_against", "saves", "goals_against", "save_percentage", "goals_against_average", "wins", "losses", "ties", "shutouts")
 AUDIT_FIELDS = ("sources", "conflict_fields", "chosen_sources")
@@ -57,12 +58,23 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return s8.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("errors > 0")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return s10.cut_texts(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return s10.truncation_rates(docs, s10.cut_texts(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_golden_lines": p1_golden_lines,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 SQL: dict[str, str] = {
