@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import packed_values
 from ..sources.tables import table
 from . import leakage as s8
+from . import names as s2
 from . import survivorship as s1
 from . import topn as s7
 from . import truncation as s10
@@ -43,6 +44,34 @@ def p1_golden_lines(spark: SparkSession, d: str) -> DataFrame:
     return s1.golden_records(*_line_survivors(spark, d))
 
 
+NAME_CELLS = (("russian_open_stats_2024", "row_no", "name"), ("ep_pdf_match_audit", "match_row", "source_name"), ("ep_pdf_match_audit", "match_row", "base_name"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spelling -> registered name by the trie join; of namesakes the one with a line for the row's club.
+
+    A cell without a club, or whose club names none of them, goes to the namesake with the smallest player_id.
+    """
+    aliases, players = table(spark, d, "team_aliases"), table(spark, d, "players").select("player_id", "name")
+    cells = None
+    for t, key, column in NAME_CELLS:
+        rows = table(spark, d, t)
+        rows = s1.with_club(rows.select(key, column, "league", "team"), aliases) if "team" in rows.columns else rows.withColumn("club", F.lit(None).cast("string"))
+        part = rows.select(F.lit(f"{t}.{column}").alias("field_name"), F.col(key).alias("row_id"), F.col(column).alias("spelling"), "club").filter("spelling is not null")
+        cells = part if cells is None else cells.unionByName(part)
+
+    links = s2.stage(s2.link_spellings(cells.select("spelling"), players, "spelling"))
+    people = s2.person_keys(players).join(links.select("first", "last").distinct(), ["first", "last"])
+    people = s2.stage(people)
+    lines = s1.with_club(table(spark, d, "season_stat_lines").select("player_id", "league", "team").distinct(), aliases)
+    namesakes = links.join(people, ["first", "last"]).select("spelling", "player_id")
+    several = namesakes.groupBy("spelling").agg(F.count("*").alias("n"), F.min("player_id").alias("any_player"))
+    by_club = namesakes.join(several.filter("n > 1").select("spelling"), "spelling").join(lines.select("player_id", "club").distinct(), "player_id")
+    by_club = s2.stage(by_club.groupBy("spelling", "club").agg(F.min("player_id").alias("club_player")))
+    tied = s2.join_checked(s2.join_checked(cells, several, "spelling"), by_club, ["spelling", "club"], "left")
+    return tied.select("field_name", "row_id", F.coalesce("club_player", "any_player").alias("player_id")).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "board").select("board_id", "player_id", F.lower(F.trim("role_group")).alias("role_group"), "adjusted_ppg", "loaded_at", "board_row_id")
     current = s7.latest(rows, ["board_id", "player_id"], "loaded_at", "board_row_id")
@@ -70,6 +99,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_golden_lines": p1_golden_lines,
+    "p2_found": p2_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
