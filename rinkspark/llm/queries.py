@@ -11,6 +11,7 @@ from ..operators.packed import packed_values
 from ..sources.tables import table
 from . import leakage as s8
 from . import names as s2
+from . import persons as s6
 from . import survivorship as s1
 from . import topn as s7
 from . import truncation as s10
@@ -72,6 +73,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return tied.select("field_name", "row_id", F.coalesce("club_player", "any_player").alias("player_id")).distinct()
 
 
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    return s6.match_profiles(table(spark, d, "players"), table(spark, d, "ep_pdf_profiles"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_scores(spark, d).select("player_id", "source_player_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "board").select("board_id", "player_id", F.lower(F.trim("role_group")).alias("role_group"), "adjusted_ppg", "loaded_at", "board_row_id")
     current = s7.latest(rows, ["board_id", "player_id"], "loaded_at", "board_row_id")
@@ -100,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_golden_lines": p1_golden_lines,
     "p2_found": p2_found,
+    "p6_found": p6_found,
+    "p6_scores": p6_scores,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
