@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import packed_values
 from ..sources.tables import table
 from . import leakage as s8
+from . import mixing as s9
 from . import names as s2
 from . import persons as s6
 from . import survivorship as s1
@@ -96,6 +97,14 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return s8.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("errors > 0")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return s9.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return s9.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return s10.cut_texts(table(spark, d, "documents")).filter("cut").select("doc_id")
 
@@ -114,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
