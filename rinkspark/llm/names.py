@@ -174,7 +174,7 @@ def _first_names(asked: DataFrame, known: DataFrame, nicks: DataFrame) -> DataFr
     exact = asked.join(vocabulary, F.col("f") == F.col("word")).select("f", "first", F.col("extra").alias("cost"))
     rest = asked.filter("length(f) > 2").join(exact.select("f").distinct(), "f", "left_anti")
     near = trie_join(rest.withColumn("__one", F.lit(1)), vocabulary.withColumn("__one", F.lit(1)), ["__one"], "f", "word")
-    close = (F.col("edits") == 1) & (F.length("f") >= 3) | (F.length("f") >= 6)
+    close = (F.col("edits") == 1) & (F.length("f") >= 3) | (F.length("f") >= 5)
     guessed = near.filter(close).join(vocabulary, "word").select("f", "first", (F.col("edits") + F.col("extra")).alias("cost"))
     return exact.unionByName(guessed).groupBy("f", "first").agg(F.min("cost").alias("cost"))
 
