@@ -156,7 +156,7 @@ def trie_join(queries: DataFrame, names: DataFrame, keys: list[str], query: str,
     kinds = dict(slim.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{query}` string", f"`{name}` string", "edits int"])
 
-    def run(key, asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asks) and len(have):
             trie = build_trie(list(have["__n"]))
