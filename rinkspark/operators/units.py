@@ -125,15 +125,15 @@ def alias_dictionary(words: DataFrame, units: tuple[str, ...]) -> DataFrame:
 
 
 def _tenths(measure: Measure) -> Column:
-    """Tenths of the common unit from ``nums`` and ``u1``, ``u2`` (units, or null)."""
-    first, second = F.try_element_at("nums", F.lit(1)), F.try_element_at("nums", F.lit(2))
+    """Tenths of the common unit from ``__nums`` and ``__u1``, ``__u2`` (units, or null)."""
+    first, second = F.try_element_at("__nums", F.lit(1)), F.try_element_at("__nums", F.lit(2))
     size = F.lit(None).cast("string")
     for low, high, unit in reversed(measure.bare):
         size = F.when((first >= low) & (first <= high), F.lit(unit)).otherwise(size)
-    dashed = (F.col("w1") == "-") & second.isNotNull() & F.lit("ft" in measure.units)
-    unit1 = F.when(dashed, F.lit("ft")).when(F.col("w1") == "", size).otherwise(F.col("u1"))
+    dashed = (F.col("__w1") == "-") & second.isNotNull() & F.lit("ft" in measure.units)
+    unit1 = F.when(dashed, F.lit("ft")).when(F.col("__w1") == "", size).otherwise(F.col("__u1"))
     sub = F.create_map(*[F.lit(x) for pair in SUBUNIT.items() for x in pair])
-    unit2 = F.coalesce(F.col("u2"), F.try_element_at(sub, unit1))
+    unit2 = F.coalesce(F.col("__u2"), F.try_element_at(sub, unit1))
     scale = F.create_map(*[x for unit, factor in TENTHS.items() for x in (F.lit(unit), F.lit(factor).cast("decimal(20,10)"))])
     total = first * F.try_element_at(scale, unit1) + F.when(second.isNotNull(), second * F.try_element_at(scale, unit2)).otherwise(F.lit(0))
     return F.struct(unit1.alias("unit"), F.round(total, 0).try_cast("int").alias("tenths"))
@@ -142,17 +142,19 @@ def _tenths(measure: Measure) -> Column:
 def to_common_unit(cells: DataFrame, measure: Measure) -> DataFrame:
     """``cells`` (any columns, one of them ``cell``, a string) with ``unit`` as recorded and ``tenths`` of the common unit.
 
+    Columns called unit and tenths are replaced; repeated rows stay; an empty table stays empty.
+
     tenths is null for a null, blank or unreadable cell, a unit of another measure, or more than two numbers; then
     unit is null too. Distances are exact, rounded half up. The alias dictionary is counted before it is broadcast;
     the join on unit words is salted beyond that, so a word that every row has is no hot key.
     """
-    parsed = cells.withColumns({"nums": numbers(F.col("cell")), "__words": unit_words(F.col("cell"))})
+    parsed = cells.drop("unit", "tenths").withColumns({"__nums": numbers(F.col("cell")), "__words": unit_words(F.col("cell"))})
     w1, w2 = F.coalesce(F.try_element_at("__words", F.lit(1)), F.lit("")), F.coalesce(F.try_element_at("__words", F.lit(2)), F.lit(""))
-    parsed = parsed.withColumns({"w1": w1, "w2": w2}).drop("__words")
-    words = parsed.select(F.explode(F.array("w1", "w2")).alias("word"))
+    parsed = parsed.withColumns({"__w1": w1, "__w2": w2}).drop("__words")
+    words = parsed.select(F.explode(F.array("__w1", "__w2")).alias("word"))
     dictionary = stage(alias_dictionary(words, measure.units))
     for n in ("1", "2"):
-        parsed = join_checked(parsed, dictionary.select(F.col("word").alias(f"w{n}"), F.col("unit").alias(f"u{n}")), f"w{n}", "left")
-    done = parsed.withColumn("__r", F.when(F.size("nums").between(1, 2), _tenths(measure)))
+        parsed = join_checked(parsed, dictionary.select(F.col("word").alias(f"__w{n}"), F.col("unit").alias(f"__u{n}")), f"__w{n}", "left")
+    done = parsed.withColumn("__r", F.when(F.size("__nums").between(1, 2), _tenths(measure)))
     readable = F.col("__r.tenths").isNotNull()
-    return done.withColumns({"unit": F.when(readable, F.col("__r.unit")), "tenths": F.col("__r.tenths")}).drop("nums", "w1", "w2", "u1", "u2", "__r")
+    return done.withColumns({"unit": F.when(readable, F.col("__r.unit")), "tenths": F.col("__r.tenths")}).drop("__nums", "__w1", "__w2", "__u1", "__u2", "__r")
