@@ -175,7 +175,7 @@ def wiki_rows(text: str) -> list[list[str]]:
     for chunk in re.split(r"\n\|-[^\n]*", table.group()[2:-2]):
         cells = []
         for line in chunk.split("\n"):
-            if line[:1] in "|!" and line[:2] not in ("|+", "|}"):
+            if line and line[0] in "|!" and line[:2] not in ("|+", "|}"):
                 cells += [re.sub(r"^[^\[\]{}|]*\|(?!\|)", "", c) for c in re.split(r"\|\||!!", line[1:])]
         if cells:
             out.append([plain_wiki(c) for c in cells])

@@ -23,7 +23,7 @@ def write_nested(df: DataFrame, path: str) -> None:
 
 def fixed_decimals(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles as text with ``digits`` digits; null is blank."""
-    return df.select(*[F.coalesce(F.format_string(f"%.{digits}f", f"`{c}`"), F.lit("")).alias(c) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes])
+    return df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{digits}f", f"`{c}`")).otherwise(F.lit("")).alias(c) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes])
 
 
 def replace_directory(spark: SparkSession, staged: str, target: str) -> None:
