@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed import packed_values
+from ..queries.cleaning import packed_sql
 from ..sources.tables import table
 from . import leakage as s8
 from . import mixing as s9
@@ -129,7 +130,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_rates": p10_rates,
 }
 
+_CLUB = "lower(regexp_replace(strip_accents({}), '[^A-Za-z0-9]', '', 'g'))"
+_GROUPED = f"""
+WITH al AS (SELECT league, {_CLUB.format('code')} AS k, min({_CLUB.format('team')}) AS t FROM team_aliases GROUP BY 1, 2),
+l AS (SELECT s.*, coalesce(al.t, {_CLUB.format('s.team')}) AS club, coalesce(trust_level, -1) AS tr FROM season_stat_lines s
+  LEFT JOIN al ON al.league = s.league AND al.k = {_CLUB.format('s.team')} LEFT JOIN source_trust x ON x.source = s.source),
+r AS (SELECT s.audit_id, s.run_at, s.player_id, s.season, s.league, s.regular_season, coalesce(al.t, {_CLUB.format('s.team')}) AS club,
+  {', '.join(f"nullif(CAST(to_json({packed_sql('s.' + f)}) AS VARCHAR), '[]') AS {f}" for f in AUDIT_FIELDS)}
+  FROM stat_reconciliation_audit s LEFT JOIN al ON al.league = s.league AND al.k = {_CLUB.format('s.team')})"""
+
+
+def _cases_sql(name: str, rows: str, row_id: str, order: str, f: str) -> str:
+    return f"""SELECT '{name}' AS table_name, min({row_id}) AS group_id, '{f}' AS field_name, arg_max({row_id}, ({order}, -{row_id})) FILTER ({f} IS NOT NULL) AS chosen_id
+FROM {rows} GROUP BY player_id, season, league, regular_season, club HAVING count(*) >= 2 AND count({f}) > 0 AND (count({f}) < count(*) OR min({f}) <> max({f}))"""
+
+
+_CASES = [_cases_sql("season_stat_lines", "l", "line_id", "tr, loaded_at", f) for f in LINE_FIELDS] + [_cases_sql("stat_reconciliation_audit", "r", "audit_id", "run_at", f) for f in AUDIT_FIELDS]
+
 SQL: dict[str, str] = {
+    "p1_found": _GROUPED + "\n" + "\nUNION ALL\n".join(_CASES),
     "p7_found": """
 WITH cur AS (
   SELECT *, lower(trim(role_group)) AS rg,
