@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..functions.text import alnum_key
 from ..operators import aggregates as agg
-from ..operators import audit, linkage, models, ranking, reconcile, scoring
+from ..operators import audit, linkage, models, ranking, reconcile, rosters, scoring
+from ..plans import dataset
 from ..sources.tables import table
 
 # League dimension of these tables (adult flag, weight, playoff weight).
@@ -244,6 +245,35 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("in_both")).join(gone.agg(F.count("*").alias("lines_only")))  # one row each
 
 
+def nested_lines(spark: SparkSession, d: str) -> DataFrame:
+    out = dataset.nested_players(table(spark, d, "players").select("player_id"), table(spark, d, "season_stat_lines"), ["season", "line_id"], ["league"])
+    return out.select("player_id", F.size("stat_lines").alias("lines"), F.array_join(F.array_distinct(F.transform("stat_lines", lambda x: x["league"])), "; ").alias("leagues"))
+
+
+def current_clubs(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "season_stat_lines").select("line_id", "player_id", "team", "games", "loaded_at")
+    return rosters.latest_assignment(lines, "player_id", "loaded_at", "games", "line_id").select("player_id", "line_id", "confidence")
+
+
+def board_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Players of the main board against players of all other boards."""
+    b = table(spark, d, "board").select("board_id", "player_id", "draft_year").distinct()
+    return rosters.overlay_snapshot(b.filter("board_id <> 'main-board'").groupBy("player_id").agg(F.count("*").alias("boards")), b.filter("board_id = 'main-board'"), ["player_id"], ["boards"])
+
+
+def shared_names(spark: SparkSession, d: str) -> DataFrame:
+    """Players whose name another nation also lists for someone born within twenty years."""
+    p = table(spark, d, "players").select("player_id", "name", "nationality", "birth_date")
+    return rosters.in_several_organizations(p, fn.name_key(F.col("name")), "nationality", "birth_date", "player_id", 7305)
+
+
+def age_bands(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "season_stat_lines").filter("regular_season")
+    band = rosters.banded(F.col("age"), [17, 18, 19, 21], ["u17", "17", "18", "19-20", "21+"])
+    order = rosters.tiered([F.col("games") >= 50, F.col("games") >= 20])
+    return lines.groupBy("league", band.alias("band")).agg(F.count("*").alias("lines"), F.sum("games").alias("games"), F.min(order).alias("best_tier"))
+
+
 _LATEST = "row_number() OVER (PARTITION BY board_id, player_id ORDER BY loaded_at DESC, board_row_id DESC) = 1"
 _LATEST_PLAYER = "row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC, board_row_id DESC) = 1"
 _ROLE = "CASE WHEN position = 'G' THEN 'goalie' WHEN position = 'D' OR position LIKE '%HD' THEN 'defense' ELSE 'forward' END"
@@ -258,7 +288,7 @@ def _field(f: str) -> str:
     return f"arg_max({f}, (p, length(CAST({f} AS VARCHAR)), -line_id)) FILTER ({f} IS NOT NULL) AS {f}"
 
 
-QUERIES = {f.__name__: f for f in (adjusted_production, goalie_metrics, player_shares, primary_line, development_path, league_rollup, identity_pairs, unmatched_candidates, bio_overlay, replaced_lines, evidence_coverage, league_context, reconciled_lines, line_conflicts, repeated_lines, season_totals, ambiguous_names, rank_quality, board_ranks, movement_by_role, blended_scores, components, projections, cross_validated_scores, cv_folds, missing_by_column, integrity, digests, club_depth, document_tags, typed_cells, name_keys, set_operations)}
+QUERIES = {f.__name__: f for f in (adjusted_production, goalie_metrics, player_shares, primary_line, development_path, league_rollup, identity_pairs, unmatched_candidates, bio_overlay, replaced_lines, evidence_coverage, league_context, reconciled_lines, line_conflicts, repeated_lines, season_totals, ambiguous_names, rank_quality, board_ranks, movement_by_role, blended_scores, components, projections, cross_validated_scores, cv_folds, missing_by_column, integrity, digests, club_depth, document_tags, typed_cells, name_keys, set_operations, nested_lines, current_clubs, board_overlay, shared_names, age_bands)}
 
 SQL = {
     "adjusted_production": f"""
@@ -377,4 +407,17 @@ a AS (SELECT min(player_id) FILTER (side = 'g') AS source_id, min(player_id) FIL
   UNION ALL SELECT min(player_id) FILTER (side = 'g'), min(player_id) FILTER (side = 'p'), 2 FROM k GROUP BY k2 HAVING count(*) FILTER (side = 'g') = 1 AND count(*) FILTER (side = 'p') = 1),
 f AS (SELECT source_id, arg_min(base_id, (step, base_id)) AS base_id, min(step) AS step FROM a GROUP BY 1), o AS (SELECT arg_min(source_id, (step, source_id)) AS source_id, base_id, min(step) AS step FROM f GROUP BY base_id)
 SELECT p.player_id AS source_id, o.base_id, CASE step WHEN 1 THEN 'exact' WHEN 2 THEN 'initial' END AS method FROM ep_pdf_profiles p LEFT JOIN o ON o.source_id = p.player_id""",
+    "nested_lines": """
+WITH f AS (SELECT player_id, league, min((season, line_id)) AS o FROM season_stat_lines GROUP BY 1, 2), g AS (SELECT player_id, string_agg(league, '; ' ORDER BY o) AS leagues FROM f GROUP BY 1), n AS (SELECT player_id, count(*) AS lines FROM season_stat_lines GROUP BY 1)
+SELECT player_id, CAST(coalesce(lines, 0) AS INTEGER) AS lines, coalesce(leagues, '') AS leagues FROM players LEFT JOIN n USING (player_id) LEFT JOIN g USING (player_id)""",
+    "current_clubs": "SELECT player_id, line_id, CASE WHEN loaded_at IS NULL THEN 'low' ELSE 'high' END AS confidence FROM season_stat_lines QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC NULLS LAST, games DESC NULLS LAST, line_id) = 1",
+    "board_overlay": """
+WITH o AS (SELECT player_id, count(*) AS boards FROM (SELECT DISTINCT board_id, player_id, draft_year FROM board WHERE board_id <> 'main-board') GROUP BY 1), m AS (SELECT DISTINCT player_id, draft_year FROM board WHERE board_id = 'main-board')
+SELECT coalesce(o.player_id, m.player_id) AS player_id, boards, CASE WHEN o.player_id IS NULL THEN 'new' WHEN m.player_id IS NULL THEN 'dropped' ELSE 'matched' END AS status FROM o FULL JOIN m ON o.player_id = m.player_id""",
+    "shared_names": """
+WITH k AS (SELECT player_id, nationality AS o, birth_date AS b, lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) AS k FROM players WHERE nationality IS NOT NULL AND birth_date IS NOT NULL)
+SELECT a.player_id, count(*) AS others FROM k a JOIN k c ON a.k = c.k AND a.o <> c.o AND abs(date_diff('day', a.b, c.b)) <= 7305 GROUP BY 1""",
+    "age_bands": """
+SELECT league, CASE WHEN age < 17 THEN 'u17' WHEN age < 18 THEN '17' WHEN age < 19 THEN '18' WHEN age < 21 THEN '19-20' WHEN age IS NOT NULL THEN '21+' END AS band, count(*) AS lines, CAST(sum(games) AS BIGINT) AS games,
+  CAST(min(CASE WHEN games >= 50 THEN 0 WHEN games >= 20 THEN 1 ELSE 2 END) AS INTEGER) AS best_tier FROM season_stat_lines WHERE regular_season GROUP BY 1, 2""",
 }
