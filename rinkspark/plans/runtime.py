@@ -22,13 +22,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, wide: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
-    Lineage is cut, so a lost executor costs a re-read of files and not a recomputation.
+    Lineage is cut, so a lost executor costs a re-read of files and not a recomputation. ``wide`` is for rows that are
+    small in bytes but dear in CPU: shuffles then keep their number of partitions instead of being merged by size.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not wide:
+        return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for a stage that is dear in CPU: three a core, and no fewer than other shuffles have."""
+    spark = df.sparkSession
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
