@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import join_checked, stage
+from ..plans.runtime import join_checked, stage, tasks
 
 MAX_EDITS = 2
 #: Names of one trie, and queries that one task runs over it.
-SHARD_NAMES, SHARD_QUERIES = 20_000, 20_000
+SHARD_NAMES, SHARD_QUERIES = 20_000, 2_000
 #: Different surnames with which a learned nickname must stand beside its first name.
 NICKNAME_SUPPORT = 2
 
@@ -95,35 +95,43 @@ def build_trie(names: list[str]) -> dict:
     return root
 
 
-def neighbours(trie: dict, query: str, edits: int) -> list[str]:
+def neighbours(trie: dict, query: str, edits: int, length: int | None = None) -> list[str]:
     """Names of the trie within ``edits`` of ``query``: the query's Levenshtein automaton, as bit sets of its states.
 
-    Bit i of row e: the first i letters of the query are read with e edits. A branch ends when no row has a bit left.
+    Bit i of row e: the first i letters of the query are read with e edits. A branch ends when no row has a bit left. If
+    all names have ``length`` letters, states from which the edits that are left can't make up the rest of it go too.
     """
     m = len(query)
     full, accept = (1 << m + 1) - 1, 1 << m
     masks: dict[str, int] = {}
     for i, c in enumerate(query):
         masks[c] = masks.get(c, 0) | 1 << i
-    start = tuple((1 << e + 1) - 1 & full for e in range(edits + 1))
-    out, stack = [], [(trie, start)]
+    keep = None
+    if length is not None:
+        keep = [[sum(1 << i for i in range(m + 1) if abs((m - i) - (length - d)) <= edits - e) for e in range(edits + 1)] for d in range(length + 1)]
+    out, stack = [], [(trie, tuple((1 << e + 1) - 1 & full for e in range(edits + 1)), 1)]
     while stack:
-        node, rows = stack.pop()
+        node, rows, depth = stack.pop()
+        allowed = keep[depth] if keep and depth <= length else None
         for c, child in node.items():
             if not c:
-                if rows[-1] & accept:
+                if any(r & accept for r in rows):
                     out.append(child)
                 continue
             mask = masks.get(c, 0)
             below = rows[0]
             now = (below & mask) << 1
-            new = [now]
-            for r in rows[1:]:
-                now = ((r & mask) << 1 | below | below << 1 | now << 1) & full
+            if allowed:
+                now &= allowed[0]
+            alive, new = now, [now]
+            for e in range(1, edits + 1):
+                r = rows[e]
+                now = ((r & mask) << 1 | below | below << 1 | now << 1) & (allowed[e] if allowed else full)
                 new.append(now)
+                alive |= now
                 below = r
-            if now:
-                stack.append((child, tuple(new)))
+            if alive:
+                stack.append((child, tuple(new), depth + 1))
     return out
 
 
@@ -161,10 +169,11 @@ def trie_join(queries: DataFrame, names: DataFrame, keys: list[str], query: str,
         if len(asks) and len(have):
             trie = build_trie(list(have["__n"]))
             for q in asks["__q"]:
-                found += [(*key[: len(keys)], q, n, osa(q, n)) for n in neighbours(trie, q, edits)]
+                found += [(*key[: len(keys)], q, n, osa(q, n)) for n in neighbours(trie, q, edits, int(key[len(keys)]))]
         return pd.DataFrame(found, columns=[*keys, query, name, "edits"])
 
-    return left.groupBy(*shard).cogroup(right.groupBy(*shard)).applyInPandas(run, schema)
+    n = tasks(left)  # a stated number: shards are few bytes, and would else be merged into few tasks
+    return left.repartition(n, *shard).groupBy(*shard).cogroup(right.repartition(n, *shard).groupBy(*shard)).applyInPandas(run, schema)
 
 
 def _first_names(asked: DataFrame, known: DataFrame, nicks: DataFrame) -> DataFrame:
@@ -200,9 +209,9 @@ def link_spellings(spellings: DataFrame, registered_names: DataFrame, name: str
     spelled = spellings.select(F.col(name).alias("name")).dropna().distinct()
     known = registered_names.select("name").dropna().distinct()
     unknown = spelled.join(known, "name", "left_anti")
-    read = stage(unknown.mapInPandas(_read, READ))
+    read = stage(unknown.mapInPandas(_read, READ), wide=True)
     registered = known.mapInPandas(_read, READ).select("name", F.element_at("readings", 1).alias("r")).filter("r is not null")
-    registered = stage(registered.select("name", F.col("r.f").alias("first"), F.col("r.l").alias("last")))
+    registered = stage(registered.select("name", F.col("r.f").alias("first"), F.col("r.l").alias("last")), wide=True)
     pairs = registered.select("first", "last").distinct()
 
     nicks = stage(learn_nicknames(read, pairs))
