@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
-from ..plans.runtime import join_checked
+from ..plans.runtime import join_checked, stage, tasks
+
+#: Base keys and source keys that one task of ``closest`` compares.
+SHARD_KEYS, SHARD_ASKED = 20_000, 100
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, fallback: dict[str, object], default_key: str = "Unknown") -> DataFrame:
@@ -86,29 +90,105 @@ def upsert(base: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 
 
 def ratio(a: str, b: str) -> float:
-    from difflib import SequenceMatcher
-
     return SequenceMatcher(None, a, b).ratio()
 
 
-def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, source_text: str, base_text: str, block: tuple[Column, Column], top: int = 3, least: float = 0.0) -> DataFrame:
-    """(source_id, base_id, similarity, place): the ``top`` most similar base texts within equal ``block`` keys.
+class Nearest:
+    """Texts that are searched for the ones most similar to a query, by upper bounds of ``ratio`` and then by itself.
+
+    Matched letters are a common subsequence, so neither the letters that both texts have nor the longest common
+    subsequence is below them: texts whose bound is under the least similarity that still counts are left out exactly.
+    """
 
-    Similarity is twice the matched letters by all letters. Ties go to the smallest base text, then id. Pairs are only
-    formed inside a block (say, surname initial and class), never between all rows.
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(texts))), 1)}
+        self.codes = np.zeros((int(self.size.max(initial=0)), len(texts)), dtype=np.int32)  # by place; 0 is no letter
+        for j, t in enumerate(texts):
+            self.codes[: len(t), j] = [self.letters[c] for c in t]
+        self.counts = np.stack([(self.codes == i).sum(axis=0, dtype=np.int32) for i in range(1, len(self.letters) + 1)]) if self.letters else None
+
+    def shared(self, query: str) -> np.ndarray:
+        """Letters that each text has in common with ``query``, in any order."""
+        out = np.zeros(len(self.texts), dtype=np.int64)
+        for c in set(query) & set(self.letters):
+            out += np.minimum(self.counts[self.letters[c] - 1], query.count(c))
+        return out
+
+    def in_order(self, query: str, at: np.ndarray) -> np.ndarray:
+        """Longest common subsequence of ``query`` (64 letters at most) with the texts ``at``: bit i of a row is its letter i."""
+        masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+        for i, c in enumerate(query):
+            if c in self.letters:
+                masks[self.letters[c]] |= np.uint64(1 << i)
+        row = np.full(len(at), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for place in self.codes[: self.size[at].max(initial=0)]:
+            hit = row & masks[place[at]]
+            row = (row + hit) | (row - hit)
+        return np.bitwise_count(~row & np.uint64((1 << len(query)) - 1)).astype(np.int64)
+
+    def top(self, query: str, n: int, least: float) -> list[tuple[int, float]]:
+        """(position, ratio) of every text that is ``least`` similar or more and not below the ``n``-th best."""
+        total = np.maximum(self.size + len(query), 1)
+        bound = np.where(self.size + len(query) == 0, 1.0, 2.0 * self.shared(query) / total)
+        have: dict[int, float] = {}
+
+        def floor() -> float:
+            best = sorted(have.values(), reverse=True)
+            return max(least, best[n - 1]) if len(best) >= n else least
+
+        for j in np.argsort(-bound, kind="stable")[: 4 * n]:
+            have[int(j)] = ratio(query, self.texts[j])
+        at = np.flatnonzero(bound >= floor())
+        if 0 < len(query) <= 64 and len(at):
+            bound = 2.0 * self.in_order(query, at) / total[at]
+        else:
+            bound = bound[at]
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < floor():
+                break
+            j = int(at[k])
+            if j not in have:
+                have[j] = ratio(query, self.texts[j])
+        limit = floor()
+        return [(j, v) for j, v in have.items() if v >= limit]
+
+
+def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, source_key: Column, base_key: Column, base_text: str, top: int = 3, least: float = 0.0) -> DataFrame:
+    """(source_id, base_id, similarity, place): the ``top`` base rows whose keys are most similar, of all base rows.
+
+    Similarity is twice the matched letters by all letters, ``least`` or more; null keys count as empty. Ties go to the
+    smallest base text, then id. Distinct source keys meet distinct base keys in shards of SHARD_ASKED and SHARD_KEYS, which
+    give their ``top`` each; no base row is left out but by an exact bound, so the work grows with the product of both.
     """
-    left = source.select(source_id, F.col(source_text).alias("__a"), block[0].alias("__k"))
-    right = base.select(base_id, F.col(base_text).alias("__b"), block[1].alias("__k"))
-    pairs = left.join(right, "__k").select(source_id, base_id, "__a", "__b")
-    kinds = dict(pairs.dtypes)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[source_id, base_id, "__b"]].assign(similarity=[ratio(a or "", b or "") for a, b in zip(batch["__a"], batch["__b"])])
-
-    scored = pairs.mapInPandas(score, f"`{source_id}` {kinds[source_id]}, `{base_id}` {kinds[base_id]}, `__b` string, similarity double").filter(F.col("similarity") >= least)
-    order = Window.partitionBy(source_id).orderBy(F.col("similarity").desc(), "__b", base_id)
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).drop("__b")
+    empty = F.lit("")
+    asked = source.select(source_id, F.coalesce(source_key, empty).alias("__a"))
+    rows = base.select(F.coalesce(base_key, empty).alias("__b"), F.coalesce(base_text, empty).alias("__t"), base_id)
+    first = Window.partitionBy("__b").orderBy("__t", base_id)
+    names = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= top).drop("__n")
+    names, spellings = stage(names), stage(asked.select("__a").distinct())
+    keys = names.select("__b").distinct()
+    of_keys, of_asked = -(-keys.count() // SHARD_KEYS), -(-spellings.count() // SHARD_ASKED)
+    cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    left = spellings.withColumn("__q", cut("__a", of_asked)).withColumn("__k", every(of_keys))
+    right = keys.withColumn("__k", cut("__b", of_keys)).withColumn("__q", every(of_asked))
+
+    def run(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asks) and len(have):
+            nearest = Nearest(list(have["__b"]))
+            found = [(q, nearest.texts[j], v) for q in asks["__a"] for j, v in nearest.top(q, top, least)]
+        return pd.DataFrame(found, columns=["__a", "__b", "similarity"])
+
+    n = tasks(left)
+    shards = left.repartition(n, "__q", "__k").groupBy("__q", "__k").cogroup(right.repartition(n, "__q", "__k").groupBy("__q", "__k"))
+    pairs = shards.applyInPandas(run, "__a string, __b string, similarity double").join(names, "__b")
+    order = Window.partitionBy("__a").orderBy(F.col("similarity").desc(), "__t", base_id)
+    best = pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    lists = stage(best.groupBy("__a").agg(F.collect_list(F.struct(base_id, "similarity", "place")).alias("__best")))  # ``top`` at most
+    return join_checked(asked, lists, "__a").select(source_id, F.explode("__best").alias("m")).select(source_id, "m.*")
 
 
 def coverage(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:

@@ -75,10 +75,9 @@ def identity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unmatched_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Closest registered names of unregistered spellings, within the same first three letters of the last token."""
+    """The three closest registered names of each unregistered spelling, of all registered names."""
     spelled = table(spark, d, "open_stats_matches").filter("source_name is not null and source_name <> name").select("match_row", "source_name")
-    block = lambda c: F.substring(F.element_at(F.split(F.lower(F.trim(c)), "\\s+"), -1), 1, 5)
-    out = linkage.closest(spelled, table(spark, d, "players").select("player_id", "name"), "match_row", "player_id", "source_name", "name", (block("source_name"), block("name")), least=0.5)
+    out = linkage.closest(spelled, table(spark, d, "players").select("player_id", "name"), "match_row", "player_id", fn.name_key(F.col("source_name")), fn.name_key(F.col("name")), "name")
     return out.select("match_row", "player_id", F.round("similarity", 6).alias("similarity"), "place")
 
 

@@ -71,6 +71,40 @@ def test_cascade_uses_each_base_row_once(spark):
     assert got == {1: (None, None), 2: (10, "exact"), 3: (20, "initial"), 4: (40, "manual")}
 
 
+def _ranked(query, people, top=3, least=0.0):
+    """Brute force: (id, ratio) of the most similar names, ties by name and id."""
+    key = lambda n: "".join(c.lower() for c in n if c.isalnum())
+    scored = [(-linkage.ratio(key(query), key(n)), n, i) for i, n in people]
+    return [(i, -v) for v, n, i in sorted(scored)[:top] if -v >= least]
+
+
+def test_closest_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "SHARD_KEYS", 60)
+    monkeypatch.setattr(linkage, "SHARD_ASKED", 11)
+    rng = np.random.RandomState(3)
+    word = lambda: "".join(rng.choice(list("aeiknrstö"), rng.randint(2, 9)))
+    people = [(i, f"{word()} {word()}".title()) for i in range(200)]
+    people += [(200 + i, "Same Name") for i in range(5)] + [(300, "Kolotres Danil"), (301, "x" * 80 + "y")]
+    asked = [(i, "".join(c for c in people[i * 3][1] if rng.rand() > 0.2)) for i in range(50)]
+    asked += [(50, "Zame Name"), (51, ""), (52, "Danil Kolotres"), (53, "x" * 79 + "yz"), (54, "Same Name")]
+    source, base = spark.createDataFrame(asked, "s int, a string"), spark.createDataFrame(people, "b int, name string")
+    for top, least in ((3, 0.0), (1, 0.7)):
+        got = {}
+        for r in linkage.closest(source, base, "s", "b", fn.name_key(F.col("a")), fn.name_key(F.col("name")), "name", top, least).orderBy("s", "place").collect():
+            got.setdefault(r.s, []).append((r.b, r.similarity))
+        assert got == {s: want for s, a in asked if (want := _ranked(a, people, top, least))}
+
+
+def test_unmatched_candidates_equal_brute_force(spark, small):
+    from rinkspark.queries import prospects
+
+    people = [tuple(r) for r in spark.read.parquet(f"{small}/players.parquet").select("player_id", "name").collect()]
+    asked = spark.read.parquet(f"{small}/open_stats_matches.parquet").filter("source_name <> name").collect()
+    got = {(r.match_row, r.place): (r.player_id, r.similarity) for r in prospects.unmatched_candidates(spark, small).collect()}
+    want = {(r.match_row, n): (i, round(v, 6)) for r in asked for n, (i, v) in enumerate(_ranked(r.source_name, people), 1)}
+    assert got == want and len(got) == 3 * len(asked) > 0
+
+
 def test_upserts_and_scopes(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, t string, n int")
     fresh = spark.createDataFrame([(2, " ", 7), (3, "c", None)], "k int, t string, n int")
