@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -50,10 +51,12 @@ def unique_keys(df: DataFrame, key: Column, row_id: str) -> DataFrame:
     return df.select(key.alias("key"), F.col(row_id).alias(row_id)).filter("key is not null and key <> ''").groupBy("key").agg(F.count("*").alias("__n"), F.min(row_id).alias(row_id)).filter("__n = 1").drop("__n")
 
 
-def cascade_match(source: DataFrame, base: DataFrame, source_id: str, base_id: str, steps: list[tuple[str, Column, Column]], approved: DataFrame | None = None) -> DataFrame:
+def cascade_match(source: DataFrame, base: DataFrame, source_id: str, base_id: str, steps: list[tuple[str, Column, Column]], approved: DataFrame | None = None, fuzzy: tuple[Column, Column, str, float] | None = None) -> DataFrame:
     """(source_id, base_id, method): each source row's base row by the first step whose keys are unique on both sides.
 
     ``steps`` are (method, key of source, key of base). ``approved`` (source_id, base_id) goes before all, as ``manual``.
+    ``fuzzy`` (key of source, key of base, base text, least) goes last: rows without a pair in any step get the base row
+    of the most similar key, if it is ``least`` similar (ties: smallest base text, then id; used base rows included).
     A base row is used once: by the earliest step, of those by the smallest source_id. Unmatched rows have method null.
     """
     found = None
@@ -62,9 +65,15 @@ def cascade_match(source: DataFrame, base: DataFrame, source_id: str, base_id: s
     for i, (_, ours, theirs) in enumerate(steps, 1):
         pairs = unique_keys(source, ours, source_id).join(unique_keys(base, theirs, base_id), "key").select(source_id, base_id, F.lit(i).alias("step"))
         found = pairs if found is None else found.unionByName(pairs)
+    if fuzzy is not None:
+        ours, theirs, text, least = fuzzy
+        found = stage(found)
+        left = source.join(found.select(source_id), source_id, "left_anti")
+        near = closest(left, base, source_id, base_id, ours, theirs, text, 1, least)
+        found = found.unionByName(near.select(source_id, base_id, F.lit(len(steps) + 1).alias("step")))
     first = found.groupBy(source_id).agg(F.min(F.struct("step", base_id)).alias("m")).select(source_id, "m.*")
     once = first.groupBy(base_id).agg(F.min(F.struct("step", source_id)).alias("m")).select(F.col(f"m.{source_id}").alias(source_id), base_id, F.col("m.step").alias("step"))
-    methods = F.create_map(*[F.lit(x) for i, m in enumerate(["manual", *[s[0] for s in steps]]) for x in (i, m)])
+    methods = F.create_map(*[F.lit(x) for i, m in enumerate(["manual", *[s[0] for s in steps], "fuzzy"]) for x in (i, m)])
     return source.select(source_id).distinct().join(once, source_id, "left").select(source_id, base_id, F.element_at(methods, F.col("step")).alias("method"))
 
 
@@ -133,26 +142,29 @@ class Nearest:
         total = np.maximum(self.size + len(query), 1)
         bound = np.where(self.size + len(query) == 0, 1.0, 2.0 * self.shared(query) / total)
         have: dict[int, float] = {}
+        best = [least] * n  # a heap of the n best, none under ``least``
 
-        def floor() -> float:
-            best = sorted(have.values(), reverse=True)
-            return max(least, best[n - 1]) if len(best) >= n else least
-
-        for j in np.argsort(-bound, kind="stable")[: 4 * n]:
-            have[int(j)] = ratio(query, self.texts[j])
-        at = np.flatnonzero(bound >= floor())
-        if 0 < len(query) <= 64 and len(at):
+        def score(j: int) -> None:
+            if j not in have:
+                have[j] = ratio(query, self.texts[j])
+                heapq.heappushpop(best, have[j])
+
+        short = 0 < len(query) <= 64
+        seeds = np.argpartition(-bound, 100 * n)[: 100 * n] if len(bound) > 100 * n else np.arange(len(bound))
+        order = self.in_order(query, seeds) / total[seeds] if short and len(seeds) else bound[seeds]
+        for k in np.argsort(-order)[: 2 * n]:
+            score(int(seeds[k]))
+        at = np.flatnonzero(bound >= best[0])
+        if short and len(at):
             bound = 2.0 * self.in_order(query, at) / total[at]
+            at, bound = at[bound >= best[0]], bound[bound >= best[0]]
         else:
             bound = bound[at]
         for k in np.argsort(-bound, kind="stable"):
-            if bound[k] < floor():
+            if bound[k] < best[0]:
                 break
-            j = int(at[k])
-            if j not in have:
-                have[j] = ratio(query, self.texts[j])
-        limit = floor()
-        return [(j, v) for j, v in have.items() if v >= limit]
+            score(int(at[k]))
+        return [(j, v) for j, v in have.items() if v >= best[0]]
 
 
 def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, source_key: Column, base_key: Column, base_text: str, top: int = 3, least: float = 0.0) -> DataFrame:

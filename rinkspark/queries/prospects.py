@@ -74,6 +74,15 @@ def identity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linkage.cascade_match(ours, base, "source_id", "base_id", steps)
 
 
+def identity_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """``identity_pairs``, and for profiles that no key pairs the player of the most similar folded name (0.9 or more)."""
+    profiles, players = (table(spark, d, t) for t in ("ep_pdf_profiles", "players"))
+    ours = profiles.select(F.col("player_id").alias("source_id"), "name")
+    base = players.select(F.col("player_id").alias("base_id"), "name")
+    steps = [(m, key(F.col("name")), key(F.col("name"))) for m, key in (("exact", fn.name_key), ("initial", fn.initial_surname_key))]
+    return linkage.cascade_match(ours, base, "source_id", "base_id", steps, fuzzy=(alnum_key(F.col("name")), alnum_key(F.col("name")), "name", 0.9))
+
+
 def unmatched_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The three closest registered names of each unregistered spelling, of all registered names."""
     spelled = table(spark, d, "open_stats_matches").filter("source_name is not null and source_name <> name").select("match_row", "source_name")
@@ -287,7 +296,7 @@ def _field(f: str) -> str:
     return f"arg_max({f}, (p, length(CAST({f} AS VARCHAR)), -line_id)) FILTER ({f} IS NOT NULL) AS {f}"
 
 
-QUERIES = {f.__name__: f for f in (adjusted_production, goalie_metrics, player_shares, primary_line, development_path, league_rollup, identity_pairs, unmatched_candidates, bio_overlay, replaced_lines, evidence_coverage, league_context, reconciled_lines, line_conflicts, repeated_lines, season_totals, ambiguous_names, rank_quality, board_ranks, movement_by_role, blended_scores, components, projections, cross_validated_scores, cv_folds, missing_by_column, integrity, digests, club_depth, document_tags, typed_cells, name_keys, set_operations, nested_lines, current_clubs, board_overlay, shared_names, age_bands)}
+QUERIES = {f.__name__: f for f in (adjusted_production, goalie_metrics, player_shares, primary_line, development_path, league_rollup, identity_pairs, identity_cascade, unmatched_candidates, bio_overlay, replaced_lines, evidence_coverage, league_context, reconciled_lines, line_conflicts, repeated_lines, season_totals, ambiguous_names, rank_quality, board_ranks, movement_by_role, blended_scores, components, projections, cross_validated_scores, cv_folds, missing_by_column, integrity, digests, club_depth, document_tags, typed_cells, name_keys, set_operations, nested_lines, current_clubs, board_overlay, shared_names, age_bands)}
 
 SQL = {
     "adjusted_production": f"""

@@ -105,6 +105,36 @@ def test_unmatched_candidates_equal_brute_force(spark, small):
     assert got == want and len(got) == 3 * len(asked) > 0
 
 
+def test_cascade_ends_with_the_fuzzy_step(spark):
+    src = spark.createDataFrame([(1, "Ann Leemann"), (2, "Anna Leemann"), (3, "Xavier Coxington"), (4, "Qavier Coxingtom"), (5, "Zed")], "s int, name string")
+    base = spark.createDataFrame([(10, "Ann Leemann"), (20, "Xavier Coxingtin"), (30, "Bo Li")], "b int, name string")
+    key = fn.name_key(F.col("name"))
+    fuzzy = (key, key, "name", 0.9)
+    got = {r.s: (r.b, r.method) for r in linkage.cascade_match(src, base, "s", "b", [("exact", key, key)], fuzzy=fuzzy).collect()}
+    assert got == {1: (10, "exact"), 2: (None, None), 3: (20, "fuzzy"), 4: (None, None), 5: (None, None)}
+    assert linkage.cascade_match(src, base.limit(0), "s", "b", [("exact", key, key)], fuzzy=fuzzy).filter("method is not null").count() == 0
+
+
+def test_identity_cascade_equals_brute_force(spark, small):
+    from rinkspark.functions.text import alnum_key
+    from rinkspark.queries import prospects
+
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"{small}/{t}.parquet").select("player_id", alnum_key(F.col("name")), "name").collect()]
+    people, want, used = read("players"), {}, set()
+    for r in prospects.identity_pairs(spark, small).collect():
+        want[r.source_id] = (r.base_id, r.method)
+        used.add(r.base_id)
+    keyed = {r.source_id for r in linkage.cascade_match(spark.read.parquet(f"{small}/ep_pdf_profiles.parquet").selectExpr("player_id source_id", "name"), spark.read.parquet(f"{small}/players.parquet").selectExpr("player_id base_id", "name"), "source_id", "base_id", [("initial", fn.initial_surname_key(F.col("name")), fn.initial_surname_key(F.col("name")))]).filter("method is not null").collect()}
+    for i, k, _ in sorted(read("ep_pdf_profiles")):
+        if want[i][1] is None and i not in keyed:
+            v, _, b = min((-linkage.ratio(k or "", p or ""), n, b) for b, p, n in people)
+            if -v >= 0.9 and b not in used:
+                want[i] = (b, "fuzzy")
+                used.add(b)
+    assert {r.source_id: (r.base_id, r.method) for r in prospects.identity_cascade(spark, small).collect()} == want
+    assert any(m == "fuzzy" for _, m in want.values())
+
+
 def test_upserts_and_scopes(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, t string, n int")
     fresh = spark.createDataFrame([(2, " ", 7), (3, "c", None)], "k int, t string, n int")
