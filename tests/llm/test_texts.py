@@ -125,6 +125,28 @@ def test_near_copy_shows_the_cut(spark):
     assert tr.cut_texts(docs.limit(0)).count() == 0
 
 
+def test_cut_is_shown_by_a_copy_that_is_not_the_longest(spark):
+    rng = random.Random(5)
+    body = " ".join(rng.choice(WORDS) + ("." if i % 9 == 8 else "") for i in range(300)) + ". They saw him at the Moritz rink last spring."
+    cut = body[: body.index("itz rink")] + "."
+    other_end = body[: body.index("They saw")] + "A quite different close of some further words that nobody cut, " + "and on " * 6 + "it goes."
+    repeated = body + " And it adds up: " + "the pace of his first step is rated as very high by all of them " * 20 + "again."
+    docs = spark.createDataFrame([(1, cut), (2, body), (3, other_end)], "doc_id bigint, text string")
+    assert {r.doc_id: r.by for r in tr.cut_texts(docs).collect()} == {1: "near_copy", 2: None, 3: None}
+    long_only = spark.createDataFrame([(1, cut), (2, repeated)], "doc_id bigint, text string")
+    assert len(repeated) > 1.6 * len(cut) and {r.doc_id: r.by for r in tr.cut_texts(long_only).collect()} == {1: "near_copy", 2: None}
+
+
+def test_cuts_shown_by_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    family = " ".join(rng.choice(WORDS) + ("." if i % 11 == 10 else "") for i in range(160)).split(" ")
+    texts = [" ".join([*family[:n], *rng.sample(WORDS, k)]) + "." for n in range(140, 160, 2) for k in (0, 0, 3, 6)]
+    texts = sorted(set(texts) | {t[: -rng.randint(2, 6)] + "." for t in texts[::3]})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i for i, x in enumerate(texts) if any(len(y) > len(x) and tr.ends_early(x, y) for y in texts)}
+    assert {r.doc_id for r in tr.cut_texts(docs).collect() if r.by == "near_copy"} == want and want
+
+
 def test_ellipsis_after_a_closing_word(spark):
     rows = [(i, f"{BODY}Time will tell...") for i in range(5)] + [(10, BODY + "The staff marked the ti..."), (11, BODY + "The nig...")]
     rows = [(i, f"Number {i}. {t}") for i, t in rows]
