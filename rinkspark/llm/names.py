@@ -176,16 +176,19 @@ def trie_join(queries: DataFrame, names: DataFrame, keys: list[str], query: str,
     return left.repartition(n, *shard).groupBy(*shard).cogroup(right.repartition(n, *shard).groupBy(*shard)).applyInPandas(run, schema)
 
 
-def _first_names(asked: DataFrame, known: DataFrame, nicks: DataFrame) -> DataFrame:
-    """(f, first, cost): the registered first names that a written one may stand for; cost is in edits."""
-    vocabulary = known.select(F.col("first").alias("word"), "first", F.lit(0.0).alias("extra")).unionByName(nicks.select(F.col("nick").alias("word"), "first", F.lit(0.25).alias("extra")))
-    vocabulary = vocabulary.groupBy("word", "first").agg(F.min("extra").alias("extra"))
-    exact = asked.join(vocabulary, F.col("f") == F.col("word")).select("f", "first", F.col("extra").alias("cost"))
-    rest = asked.filter("length(f) > 2").join(exact.select("f").distinct(), "f", "left_anti")
-    near = trie_join(rest.withColumn("__one", F.lit(1)), vocabulary.withColumn("__one", F.lit(1)), ["__one"], "f", "word")
+def _first_vocabulary(known: DataFrame, nicks: DataFrame) -> DataFrame:
+    """(word, first, extra): registered first names and nicknames, with what a nickname costs."""
+    both = known.select(F.col("first").alias("word"), "first", F.lit(0.0).alias("extra")).unionByName(nicks.select(F.col("nick").alias("word"), "first", F.lit(0.25).alias("extra")))
+    return both.groupBy("word", "first").agg(F.min("extra").alias("extra"))
+
+
+def _near_first_names(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(f, first, cost): the first names that are one or two edits from a written one, registered itself or not."""
+    rest = asked.filter("length(f) > 2")
+    near = trie_join(rest.withColumn("__one", F.lit(1)), vocabulary.withColumn("__one", F.lit(1)), ["__one"], "f", "word").filter("edits > 0")
     close = (F.col("edits") == 1) & (F.length("f") >= 3) | (F.length("f") >= 5)
     guessed = near.filter(close).join(vocabulary, "word").select("f", "first", (F.col("edits") + F.col("extra")).alias("cost"))
-    return exact.unionByName(guessed).groupBy("f", "first").agg(F.min("cost").alias("cost"))
+    return guessed.groupBy("f", "first").agg(F.min("cost").alias("cost"))
 
 
 def learn_nicknames(read: DataFrame, registered: DataFrame) -> DataFrame:
@@ -216,18 +219,34 @@ def link_spellings(spellings: DataFrame, registered_names: DataFrame, name: str
 
     nicks = stage(learn_nicknames(read, pairs))
     asked = read.select("name", F.explode("readings").alias("r")).select("name", F.col("r.f").alias("f"), F.col("r.l").alias("l"))
-    firsts = stage(_first_names(asked.select("f").filter("length(f) > 1").distinct(), pairs.select("first").distinct(), nicks))
-    tried = asked.filter("length(f) > 1").join(firsts, "f").groupBy("name", "l", "first").agg(F.min("cost").alias("cost"))
-    tried = stage(tried)
+    vocabulary = stage(_first_vocabulary(pairs.select("first").distinct(), nicks))
+    registered_last = pairs.withColumnRenamed("last", "l")
 
-    whole = tried.join(pairs.withColumnRenamed("last", "l"), ["first", "l"]).select("name", "first", F.col("l").alias("last"), "cost")
-    initials = asked.filter("length(f) = 1").join(pairs.select("first", F.col("last").alias("l"), F.substring("first", 1, 1).alias("f")), ["f", "l"])
-    whole = stage(whole.unionByName(initials.select("name", "first", F.col("l").alias("last"), F.lit(0.5).alias("cost"))))
+    def tries(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+        tried = rows.filter("length(f) > 1").join(firsts, "f").groupBy("name", "l", "first").agg(F.min("cost").alias("cost"))
+        return stage(tried.select("name", "l", F.col("first").alias("first"), "cost"))  # a column of its own, as ``pairs`` is joined
 
-    rest = tried.filter("length(l) > 3").join(whole.select("name").distinct(), "name", "left_anti")
-    near = trie_join(rest, pairs, ["first"], "l", "last").filter((F.col("edits") == 1) | (F.length("l") >= 6))
-    guessed = rest.join(near, ["first", "l"]).select("name", "first", "last", (F.col("cost") + F.col("edits")).alias("cost")).filter(F.col("cost") <= MAX_EDITS + 1)
-    found = whole.unionByName(guessed)
+    def whole_of(rows: DataFrame) -> DataFrame:
+        return rows.join(registered_last, ["first", "l"]).select("name", "first", F.col("l").alias("last"), "cost")
+
+    def guesses(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Registered surnames near those of ``rows``, where an edit can still do as well as what is ``found``."""
+        least = found.groupBy("name").agg(F.min("cost").alias("least"))
+        rest = rows.filter("length(l) > 3").join(least, "name", "left").filter((F.col("cost") + 1 <= F.coalesce("least", F.lit(MAX_EDITS + 1.0))))
+        near = trie_join(rest, pairs, ["first"], "l", "last").filter((F.col("edits") == 1) | (F.length("l") >= 6))
+        cost = (F.col("cost") + F.col("edits")).alias("cost")
+        return rest.join(near, ["first", "l"]).select("name", "first", "last", cost).filter(F.col("cost") <= MAX_EDITS + 1)
+
+    written = tries(asked, vocabulary.select(F.col("word").alias("f"), "first", F.col("extra").alias("cost")))
+    initials = asked.filter("length(f) = 1").join(pairs.select("first", F.col("last").alias("l"), F.substring("first", 1, 1).alias("f")), ["f", "l"])
+    whole = stage(whole_of(written).unionByName(initials.select("name", "first", F.col("l").alias("last"), F.lit(0.5).alias("cost"))))
+
+    # Whole matches cost less than one edit, so near first names are tried for the other spellings only.
+    left = asked.join(whole.select("name").distinct(), "name", "left_anti")
+    near = tries(left, stage(_near_first_names(left.select("f").filter("length(f) > 1").distinct(), vocabulary)))
+    found = stage(whole.unionByName(whole_of(near)))
+    found = stage(found.unionByName(guesses(written, found)))
+    found = found.unionByName(guesses(near, found))
     least = found.groupBy("name").agg(F.min("cost").alias("least"))
     return found.join(least, "name").filter("cost = least").groupBy(F.col("name").alias("spelling"), "first", "last").agg(F.min("cost").alias("cost"))
 

@@ -149,6 +149,14 @@ def test_link_spellings(spark):
     assert n.link_spellings(df, known.limit(0)).count() == 0
 
 
+def test_registered_first_name_may_stand_for_a_near_one(spark):
+    names = spark.createDataFrame([("Daniel Kolotressen",), ("Danil Berger",), ("Egor Levennedahl",), ("Igor Straub",), ("Danil Kolomensen",)], "name string")
+    rows = ["Danil Colotressen", "Igor Levenedahl", "Danil Bergar", "Daniel Berger", "Danil Kolomenson"]
+    got = {r.spelling: (r["first"], r["last"]) for r in n.link_spellings(spark.createDataFrame([(r,) for r in rows], "name string"), names).collect()}
+    want = {"Danil Colotressen": "Daniel Kolotressen", "Igor Levenedahl": "Egor Levennedahl", "Danil Bergar": "Danil Berger", "Daniel Berger": "Danil Berger", "Danil Kolomenson": "Danil Kolomensen"}
+    assert got == {k: n.read_spelling(v)[0][0] for k, v in want.items()}
+
+
 def test_bm25_equals_brute_force(spark):
     rng = random.Random(7)
     tok = lambda: sorted({"name:" + rng.choice("abcdef"), "x:" + rng.choice("pqrs"), "x:" + rng.choice("pqrs"), "hot:1"} - ({"hot:1"} if rng.random() < 0.2 else set()))
