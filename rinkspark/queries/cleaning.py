@@ -51,6 +51,32 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return good.select("row_no", "games", "goals_against_average")
 
 
+def p3_loaded_open_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Every valid row of russian_open_stats_2024 with all its columns, the ruled ones cast."""
+    return bad.load_valid(table(spark, d, "russian_open_stats_2024"), "row_no", RULES["russian_open_stats_2024"])[0]
+
+
+def p3_loaded_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every valid row of open_stats_matches with all its columns, the ruled ones cast."""
+    return bad.load_valid(table(spark, d, "open_stats_matches"), "match_row", RULES["open_stats_matches"])[0]
+
+
+def _loaded_raw(spark: SparkSession, d: str, layout: str) -> DataFrame:
+    """The valid records of one layout in open_stats_raw as rows of its columns, the ruled ones cast."""
+    raw = table(spark, d, "open_stats_raw").filter(F.col("layout") == layout).select("line_no", bad.record_text(F.col("line_text")).alias("line"))
+    whole = raw.filter(bad.structure_error(F.col("line"), F.lit(len(LAYOUTS[layout]))).isNull()).withColumn("cells", bad.record_cells(F.col("line")))
+    rows = whole.select("line_no", *[F.try_element_at("cells", F.lit(i)).alias(c) for i, c in enumerate(LAYOUTS[layout], 1)])
+    return bad.load_valid(rows, "line_no", RULES[layout])[0]
+
+
+def p3_loaded_raw_open_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded_raw(spark, d, "russian_open_stats_2024")
+
+
+def p3_loaded_raw_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded_raw(spark, d, "open_stats_matches")
+
+
 PACKED = (("stat_reconciliation_audit", "audit_id", ["sources", "chosen_sources"]), ("board", "board_row_id", ["badges"]))
 
 
@@ -137,7 +163,7 @@ _SHARE = """CASE
     WHEN regexp_matches(save_percentage, '^ *0?[.,]') THEN NULL
     ELSE TRY_CAST(replace(regexp_extract(save_percentage, '[0-9]+([.,][0-9]+)?'), ',', '.') AS DECIMAL(20,6)) * CASE WHEN regexp_matches(save_percentage, '^[0-9]{3}( *‰)?$') THEN 1 ELSE 10 END END"""
 
-QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded, "p3_loaded_open_stats": p3_loaded_open_stats, "p3_loaded_matches": p3_loaded_matches, "p3_loaded_raw_open_stats": p3_loaded_raw_open_stats, "p3_loaded_raw_matches": p3_loaded_raw_matches, "p4_found": p4_found, "p5_found": p5_found}
 SQL = {
     "p3_found": f"""
 WITH {_CELLS}

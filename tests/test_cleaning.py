@@ -113,3 +113,18 @@ def test_units(spark):
 
 def test_distance_prefers_vowels():
     assert units.weighted_distance("inchs", "inches") < units.weighted_distance("inhes", "inches") <= units.weighted_distance("xnches", "inches") + 1
+
+
+def test_valid_rows_of_all_three_tables_load(spark, small):
+    from rinkspark.queries import cleaning as c
+
+    rejected = {}
+    for r in c.p3_found(spark, small).collect():
+        rejected.setdefault(r.table_name, set()).add(r.row_id)
+    ids = lambda t, k, where="true": {r[0] for r in spark.read.parquet(f"{small}/{t}.parquet").filter(where).select(k).collect()}
+    for name, t, key, where in (("p3_loaded_open_stats", "russian_open_stats_2024", "row_no", "true"), ("p3_loaded_matches", "open_stats_matches", "match_row", "true"), ("p3_loaded_raw_open_stats", "open_stats_raw", "line_no", "layout = 'russian_open_stats_2024'"), ("p3_loaded_raw_matches", "open_stats_raw", "line_no", "layout = 'open_stats_matches'")):
+        df = c.QUERIES[name](spark, small)
+        layout = "russian_open_stats_2024" if "open_stats" in name else "open_stats_matches"
+        assert set(c.LAYOUTS[layout]) <= set(df.columns) and all(dict(df.dtypes)[r.column] == r.sql_type for r in c.RULES[layout])
+        got = [r[key] for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == ids(t, key, where) - rejected.get(t, set()) and got
