@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..functions.text import alnum_key
 from ..operators import aggregates as agg
-from ..operators import audit, linkage, models, ranking, reconcile, rosters, scoring
+from ..operators import audit, linkage, models, ranking, reconcile, rosters, scoring, units
 from ..plans import dataset
 from ..sources.tables import table
 
@@ -180,6 +180,14 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return p.select("player_id", _q(scoring.size_score(F.col("position"), F.col("height_cm"), F.col("weight_kg")), 6).alias("size"), scoring.hand_score(F.col("position"), F.col("handedness")).alias("hand"), _q(scoring.age_score(F.col("age_at_draft")), 6).alias("age"))
 
 
+def component_scores(spark: SparkSession, d: str) -> DataFrame:
+    """``components`` of every player: measures in any unit are brought to cm and kg, size is null where one is missing."""
+    sized = table(spark, d, "players").select("player_id", "position", "handedness", "age_at_draft", F.col("height_cm").cast("string").alias("h"), F.col("weight_kg").cast("string").alias("w"))
+    for cell, measure in (("h", units.HEIGHT), ("w", units.WEIGHT)):
+        sized = units.to_common_unit(sized.withColumnRenamed(cell, "cell"), measure).withColumn(cell, F.col("tenths") / 10.0).drop("cell", "unit", "tenths")
+    return sized.select("player_id", _q(scoring.size_score(F.col("position"), F.col("h"), F.col("w")), 6).alias("size"), scoring.hand_score(F.col("position"), F.col("handedness")).alias("hand"), _q(scoring.age_score(F.col("age_at_draft")), 6).alias("age"))
+
+
 def projections(spark: SparkSession, d: str) -> DataFrame:
     best = reconcile.keep_first(table(spark, d, "board"), ["player_id"], [F.col("loaded_at").desc(), F.col("board_row_id").desc()])
     rows = best.select("player_id", "consensus_rank", "primary_league").join(table(spark, d, "players").select("player_id", F.col("age_at_draft").alias("age"), "height_cm", "position"), "player_id")
@@ -296,7 +304,7 @@ def _field(f: str) -> str:
     return f"arg_max({f}, (p, length(CAST({f} AS VARCHAR)), -line_id)) FILTER ({f} IS NOT NULL) AS {f}"
 
 
-QUERIES = {f.__name__: f for f in (adjusted_production, goalie_metrics, player_shares, primary_line, development_path, league_rollup, identity_pairs, identity_cascade, unmatched_candidates, bio_overlay, replaced_lines, evidence_coverage, league_context, reconciled_lines, line_conflicts, repeated_lines, season_totals, ambiguous_names, rank_quality, board_ranks, movement_by_role, blended_scores, components, projections, cross_validated_scores, cv_folds, missing_by_column, integrity, digests, club_depth, document_tags, typed_cells, name_keys, set_operations, nested_lines, current_clubs, board_overlay, shared_names, age_bands)}
+QUERIES = {f.__name__: f for f in (adjusted_production, goalie_metrics, player_shares, primary_line, development_path, league_rollup, identity_pairs, identity_cascade, unmatched_candidates, bio_overlay, replaced_lines, evidence_coverage, league_context, reconciled_lines, line_conflicts, repeated_lines, season_totals, ambiguous_names, rank_quality, board_ranks, movement_by_role, blended_scores, components, component_scores, projections, cross_validated_scores, cv_folds, missing_by_column, integrity, digests, club_depth, document_tags, typed_cells, name_keys, set_operations, nested_lines, current_clubs, board_overlay, shared_names, age_bands)}
 
 SQL = {
     "adjusted_production": f"""

@@ -135,6 +135,17 @@ def test_identity_cascade_equals_brute_force(spark, small):
     assert any(m == "fuzzy" for _, m in want.values())
 
 
+def test_component_scores_keep_every_player(spark, tmp_path):
+    from rinkspark.queries import prospects
+
+    rows = [("cm", "D", 190, 90), ("in", "D", 75, 198), ("mm", "D", 1900, 90000), ("none", "D", None, 90), ("no kg", "G", 190, None)]
+    spark.createDataFrame([(i, p, "R", 18.0, h, w) for i, p, h, w in rows], "player_id string, position string, handedness string, age_at_draft double, height_cm int, weight_kg int").write.parquet(str(tmp_path / "players.parquet"))
+    got = {r.player_id: r for r in prospects.component_scores(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows} and got["cm"]["size"] == got["mm"]["size"] == round(0.7 * 12 / 18 + 0.3 * 18 / 22, 6)
+    assert abs(got["in"]["size"] - round(0.7 * 12.5 / 18 + 0.3 * 17.8 / 22, 6)) < 1e-6
+    assert got["none"]["size"] is got["no kg"]["size"] is None and got["none"].hand == 1.0 and got["no kg"].age is not None
+
+
 def test_upserts_and_scopes(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, t string, n int")
     fresh = spark.createDataFrame([(2, " ", 7), (3, "c", None)], "k int, t string, n int")
