@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,18 @@ BROADCAST_ROWS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a new one where it names none."""
+    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a new local folder; on a cluster this raises, as the executors
+    could not read a folder of the driver's machine.
+    """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rinkspark-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -63,3 +70,17 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
     spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: str, load: int = 2_000) -> DataFrame:
+    """Inner join with wide rows of ``right`` (unique keys ``on``); no task gets more than about ``load`` rows of one key.
+
+    Keys that more rows of ``left`` hold are counted, and their rows split into parts of ``load``; only those rows of
+    ``right`` are repeated, once a part. ``left`` is read twice: it should be staged.
+    """
+    hot = left.groupBy(on).agg(F.count("*").alias("__n")).filter(F.col("__n") > load)
+    hot = stage(hot.select(on, F.ceil(F.col("__n") / load).cast("int").alias("__parts")))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.coalesce("__parts", F.lit(1))).cast("int")
+    rows = join_checked(left, hot, on, "left").withColumn("__part", part).drop("__parts")
+    wide = join_checked(right, hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return rows.join(wide, [on, "__part"]).drop("__part")
