@@ -111,8 +111,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return s10.truncation_rates(docs, s10.cut_texts(docs))
+    return s10.truncation_rates(s10.cut_texts(table(spark, d, "documents"), keep=("source",)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

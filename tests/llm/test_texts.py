@@ -147,6 +147,33 @@ def test_cuts_shown_by_copies_equal_brute_force(spark):
     assert {r.doc_id for r in tr.cut_texts(docs).collect() if r.by == "near_copy"} == want and want
 
 
+def test_cut_at_any_length(spark):
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(400)]
+    docs, planted = [], {}
+    for i in range(12):
+        words = [rng.choice(vocabulary) + ("." if j % 10 == 9 else "") for j in range(300)]
+        docs.append((i, " ".join(words)))
+        for share in (10, 25, 50, 75, 85, 90, 95):
+            n = 3 * share + (3 if share % 10 == 0 else 2)  # not after a sentence's last word
+            cut = words[: n - 1] + [words[n - 1].rstrip(".") + "."]
+            for at in rng.sample(range(n - 7), n // 80):  # a few other words
+                cut[at] = "other"
+            planted[100 * (i + 1) + share] = " ".join(cut)
+    docs += list(planted.items())
+    got = {r.doc_id for r in tr.cut_texts(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.by == "near_copy"}
+    brute = {i for i, t in docs if any(tr.ends_early(t, y) for _, y in docs if len(y) > len(t))}
+    assert got <= brute and set(planted) >= brute and len(got) >= 0.98 * len(brute) and len(got) >= 0.95 * len(planted)
+
+
+def test_hot_family_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(tr, "join_spread", lambda left, right, on: __import__("rinkspark.plans.runtime", fromlist=["x"]).join_spread(left, right, on, 3))
+    base = [f"word{i}" + ("." if i % 10 == 9 else "") for i in range(80)]
+    docs = [(i, " ".join([f"n{i}", *base])) for i in range(40)] + [(100 + i, " ".join([f"c{i}", *base[:73]]) + ".") for i in range(40)]
+    got = {r.doc_id for r in tr.cut_texts(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.by == "near_copy"}
+    assert got == {100 + i for i in range(40)}
+
+
 def test_ellipsis_after_a_closing_word(spark):
     rows = [(i, f"{BODY}Time will tell...") for i in range(5)] + [(10, BODY + "The staff marked the ti..."), (11, BODY + "The nig...")]
     rows = [(i, f"Number {i}. {t}") for i, t in rows]
@@ -156,5 +183,6 @@ def test_ellipsis_after_a_closing_word(spark):
 
 def test_rates(spark):
     docs = spark.createDataFrame([(i, "cap", "word " * 20 + f"{i % 10}wor"[:4]) for i in range(9)] + [(20, "ok", "Fine."), (21, None, "Bro")], "doc_id bigint, source string, text string")
-    got = {r.source: r for r in tr.truncation_rates(docs, tr.cut_texts(docs)).collect()}
-    assert got["cap"].cut_share == 1.0 and got["cap"].field_limit == 104 and got["ok"].cut_texts == 0 and got[None].cut_share == 1.0
+    docs = docs.unionByName(docs.filter("doc_id = 21").withColumn("source", F.lit("ok")))  # one id twice
+    got = {r.source: r for r in tr.truncation_rates(tr.cut_texts(docs, keep=("source",))).collect()}
+    assert got["cap"].cut_share == 1.0 and got["cap"].field_limit == 104 and (got["ok"].texts, got["ok"].cut_texts) == (2, 1) and got[None].cut_share == 1.0
