@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from rinkspark.llm import leakage as lk
@@ -104,14 +103,19 @@ def test_token_counts(spark):
 BODY = "Some nights a heavy wrist shot takes over and other nights discipline does. The league moved the fixture because of an ice plant failure. "
 
 
-@pytest.mark.parametrize("text, cut", [
+ENDS = [
     (BODY.strip(), False), (BODY + "The sta", True), (BODY + "The staff…", True), (BODY + "The sta�", True), (BODY + "The sta [...]", True), (BODY + "The sta &am", True), (BODY + "The staff\n", True),
     (BODY + "\n— Kelmar desk", False), (BODY + "#Kelmar #draft2020", False), (BODY + "\nhttps://notes.example/1", False), (BODY + "\nGrade: 5/9", False), (BODY + "\nFinal: Kelmar 2, Mokrous 1", False), (BODY + "\nGP 5 | G 2 | A 1", False), (BODY + "\n[Filed 1 Jan, Kelmar]", False),
     (BODY + "(Second viewing.)", False), (BODY + "Is it enough?", False), ("", False), (None, False), ("   ", False), (BODY * 3000 + "and", True),
-])
-def test_ends(spark, text, cut):
-    df = spark.createDataFrame([(1, text), (1, text)], "doc_id bigint, text string").withColumns({"tid": F.lit(1), "by": F.lit(2)})
-    assert [r.cut for r in tr.cut_texts(df).collect()] == [cut, cut]
+    (BODY.replace("fixture", "game") + "The staff (more)", True),
+]
+
+
+def test_ends(spark):
+    rows = [(i, t if not t or not t.strip() else f"N{i}. {t}") for i, (t, _) in enumerate(ENDS)]
+    df = spark.createDataFrame(rows + rows, "doc_id bigint, text string").withColumns({"tid": F.lit(1), "by": F.lit(2), "keys": F.lit(3)})
+    got = sorted((r.doc_id, r.cut) for r in tr.cut_texts(df).collect())
+    assert got == sorted([(i, cut) for i, (_, cut) in enumerate(ENDS)] * 2)
 
 
 def test_near_copy_shows_the_cut(spark):
@@ -143,7 +147,7 @@ def test_cuts_shown_by_copies_equal_brute_force(spark):
     texts = [" ".join([*family[:n], *rng.sample(WORDS, k)]) + "." for n in range(140, 160, 2) for k in (0, 0, 3, 6)]
     texts = sorted(set(texts) | {t[: -rng.randint(2, 6)] + "." for t in texts[::3]})
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    want = {i for i, x in enumerate(texts) if any(len(y) > len(x) and tr.ends_early(x, y) for y in texts)}
+    want = {i for i, x in enumerate(texts) if any(y != x and tr.ends_early(x, y) for y in texts)}
     assert {r.doc_id for r in tr.cut_texts(docs).collect() if r.by == "near_copy"} == want and want
 
 
@@ -162,7 +166,7 @@ def test_cut_at_any_length(spark):
             planted[100 * (i + 1) + share] = " ".join(cut)
     docs += list(planted.items())
     got = {r.doc_id for r in tr.cut_texts(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.by == "near_copy"}
-    brute = {i for i, t in docs if any(tr.ends_early(t, y) for _, y in docs if len(y) > len(t))}
+    brute = {i for i, t in docs if any(tr.ends_early(t, y) for _, y in docs if y != t)}
     assert got <= brute and set(planted) >= brute and len(got) >= 0.98 * len(brute) and len(got) >= 0.95 * len(planted)
 
 
