@@ -52,14 +52,19 @@ def sound(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", out)
 
 
+def name_parts(name: str) -> list[str]:
+    """The sounds of the tokens of a name, without what stands in quotes or brackets."""
+    tokens = [sound(t) for part in _TOKEN.findall(_QUOTED.sub(" ", name)) for t in _CAMEL.split(part)]
+    return [t for t in tokens if t]
+
+
 def read_spelling(name: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """((first, surname) readings in every token order, (nickname, first name) pairs written out) of a spelling.
 
     A reading's first name is one letter if only an initial is written. Initials and third tokens may be left out.
     """
     nicks = [next(g for g in m.groups() if g) for m in _QUOTED.finditer(name)]
-    tokens = [sound(t) for part in _TOKEN.findall(_QUOTED.sub(" ", name)) for t in _CAMEL.split(part)]
-    tokens = [t for t in tokens if t]
+    tokens = name_parts(name)
     full = [t for t in tokens if len(t) > 1]
     readings = [(a, b) for i, a in enumerate(full) for j, b in enumerate(full) if i != j]
     if len(full) == 1:
