@@ -4,10 +4,11 @@ A leak is a window of ``WINDOW`` consecutive words of a test item. Each item is
 ``WINDOW // (ERRORS + 2)`` words; every window holds ERRORS + 1 whole pieces, so within the error budget at least
 one of them stands in the document unchanged. 1. All pieces of a block of items go into one Aho-Corasick automaton, and
 each document is read once. 2. For a piece that is found, Myers' bit-parallel algorithm measures the edit distance
-(on words) between the item's neighbourhood and the document's. 3. An exact check counts the consecutive words.
+(on words) between the item's window and the document's; it decides every leak. 3. An exact check counts the consecutive
+words.
 
-Items are read in blocks of at most ITEM_BLOCK, so the automaton and its broadcast have a fixed bound however many
-items there are; documents are never shuffled and never cut.
+Items are read in blocks of at most ITEM_BLOCK, one at a time, so the automaton, its broadcast and what the driver holds
+have a fixed bound however many items there are; documents are never shuffled and never cut.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import stage
 from .words import words
 
 WINDOW, ERRORS = 12, 1  # one_error_reach holds for a budget of one
@@ -97,8 +99,21 @@ def _automaton(items: tuple[tuple[int, str], ...]):
     return machine if where else None, parsed
 
 
+def window_errors(item: list[str], starts: range, around: list[str]) -> int:
+    """The least edits of words between a window of the item, from one of ``starts`` on, and words of the document."""
+    least = WINDOW
+    for s in starts:
+        least = min(least, *myers(item[s : s + WINDOW], around))
+        if not least:
+            break
+    return least
+
+
 def leaks_in(text: str | None, machine, parsed) -> list[tuple[int, int, int]]:
-    """(item_id, longest exact run of words, errors of the best window) for each item that ``text`` leaks."""
+    """(item_id, longest exact run of words, errors of the best window) for each item that ``text`` leaks.
+
+    Every leak is verified by the edit distance of a window to the document's words around the piece that was found.
+    """
     have = words(text)
     if len(have) < WINDOW - ERRORS:
         return []
@@ -106,52 +121,56 @@ def leaks_in(text: str | None, machine, parsed) -> list[tuple[int, int, int]]:
     hits = list(machine.iter(line))
     if not hits:
         return []
-    starts: dict[int, int] = {}
+    places_of: dict[int, int] = {}
     at = 0
     for k, w in enumerate(have):
-        starts[at] = k
+        places_of[at] = k
         at += len(w) + 1
     for end, (length, places) in hits:
-        pos = starts[end - length + 1]
+        pos = places_of[end - length + 1]
         for n, at in places:
-            item_id, item = parsed[n]
-            known = best.get(item_id)
+            item = parsed[n][1]
+            known = best.get(n)
             if known and known[2] <= pos < known[3] and pos - at == known[4]:
                 continue  # inside the run that is already counted
             start, run = exact_run(item, at, have, pos)
-            errors = 0
-            if run < WINDOW:
-                if one_error_reach(item, start, have, pos - (at - start), run) < WINDOW - ERRORS:
-                    continue  # no window with this piece can be within the budget
-                errors = WINDOW
-                around = have[max(0, pos - WINDOW - ERRORS) : pos + WINDOW + ERRORS]
-                for s in range(max(0, at + PIECE - WINDOW), min(at, len(item) - WINDOW) + 1):
-                    errors = min(errors, *myers(item[s : s + WINDOW], around))
-                    if errors <= ERRORS:
-                        break
+            first = pos - (at - start)
+            if run >= WINDOW:
+                starts, around = range(start, start + 1), have[first : first + WINDOW]
+            elif one_error_reach(item, start, have, first, run) < WINDOW - ERRORS:
+                continue  # no window with this piece can be within the budget
+            else:
+                starts, around = range(max(0, at + PIECE - WINDOW), min(at, len(item) - WINDOW) + 1), have[max(0, pos - WINDOW - ERRORS) : pos + WINDOW + ERRORS]
+            errors = window_errors(item, starts, around)
             if errors <= ERRORS and (known is None or (run, -errors) > (known[0], -known[1])):
-                first = pos - (at - start)
-                best[item_id] = (run, errors, first, first + run, pos - at)
-    return [(i, b[0], b[1]) for i, b in best.items()]
+                best[n] = (run, errors, first, first + run, pos - at)
+    out: dict[int, tuple[int, int]] = {}
+    for n, b in best.items():
+        i = parsed[n][0]
+        out[i] = max(out.get(i, (0, -WINDOW)), (b[0], -b[1]))
+    return [(i, run, -errors) for i, (run, errors) in out.items()]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
     """(doc_id, item_id, words, errors) of each document and test item of which it holds a window.
 
-    ``words`` is the longest run of consecutive words of the item, ``errors`` 0 if it is WINDOW words or more, else the
-    edits (at most ERRORS) of the best window. Null and empty texts leak nothing, items of under WINDOW words can't
-    leak, repeated items give one row an id, rows of a repeated doc_id one each; other columns are not read.
+    ``words`` is the longest run of consecutive words of the item, ``errors`` the edits (at most ERRORS) of the best window.
+    Null and empty texts leak nothing, items of under WINDOW words can't leak, different texts of one item id count as
+    one item, repeated items give one row an id, rows of a repeated doc_id one each; other columns are not read. Up to
+    ITEM_BLOCK items the documents are read once, else once a block; the driver holds one block at a time.
     """
     spark = docs.sparkSession
-    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().dropDuplicates(["i"])
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().distinct()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    blocks = max(1, -(-rows.count() // ITEM_BLOCK))
-    out = None
-    for b in range(blocks):
-        block = tuple((r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).sort("i").collect())  # a block of the stated query set
-        sent = spark.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    def page(after) -> list:
+        more = rows if after is None else rows.filter((F.col("i") > after.i) | ((F.col("i") == after.i) & (F.col("t") > after.t)))
+        return more.orderBy("i", "t").limit(ITEM_BLOCK).collect()  # a block of the stated query set
+
+    def leaks(block: list) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(tuple((r.i, r.t) for r in block))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             machine, parsed = _automaton(sent.value)
             for batch in batches:
                 found = []
@@ -160,6 +179,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                         found += [(d, *x) for x in leaks_in(t, machine, parsed)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "errors"])
 
-        part = slim.mapInPandas(scan, FOUND)
+        return slim.mapInPandas(scan, FOUND), sent
+
+    block = page(None)
+    part, sent = leaks(block)
+    if len(block) < ITEM_BLOCK:
+        return part
+    out = None
+    while block:
+        part = stage(part)
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
-    return out
+        block = page(block[-1])
+        if block:
+            part, sent = leaks(block)
+    # A page may end between two texts of one item.
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("errors")).alias("e"))).alias("b")).select("doc_id", "item_id", "b.words", (-F.col("b.e")).alias("errors"))

@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import fits_broadcast, stage
+from ..plans.runtime import join_checked, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BITS, LEVELS = 12, 5
-#: Sources that may be targeted; their thresholds are broadcast.
-MOST_SOURCES = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -69,11 +67,19 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
 
 
 def thresholds(counted: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, threshold): texts with a smaller hash sum to the source's remainder, as near as whole texts allow."""
+    """(source, threshold): texts with a smaller hash sum to the source's remainder, as near as whole texts allow.
+
+    Only the texts of the boundary buckets, one in 4,096, go on to the next level.
+    """
     state = stage(plan.select("source", F.lit(0).cast("bigint").alias("floor"), F.col("remainder").alias("left")))
+    rows = counted.select("source", "hash", "tokens")
     for level in range(LEVELS):
+        final = level == LEVELS - 1
         width = F.lit(1 << BITS * (LEVELS - level - 1)).cast("bigint")
-        inside = counted.join(F.broadcast(state), "source").filter((F.col("hash") >= F.col("floor")) & (F.col("hash") < F.col("floor") + width * (1 << BITS)))
+        inside = join_checked(rows, state, "source").filter((F.col("hash") >= F.col("floor")) & (F.col("hash") < F.col("floor") + width * (1 << BITS)))
+        if level:
+            inside = stage(inside)
+            rows = inside.select("source", "hash", "tokens")
         bucket = F.floor((F.col("hash") - F.col("floor")) / width).cast("int")
         sums = inside.groupBy("source", "floor", "left", bucket.alias("bucket")).agg(F.sum("tokens").alias("t"))
         run = F.sum("t").over(Window.partitionBy("source").orderBy("bucket"))  # at most 4,096 rows a source
@@ -81,7 +87,6 @@ def thresholds(counted: DataFrame, plan: DataFrame) -> DataFrame:
             F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("t")).alias("before"), "t"))).alias("e"), F.max("upto").alias("all")
         )
         state = state.join(ends, "source", "left")
-        final = level == LEVELS - 1
         step = F.col("e.bucket") + (F.lit(1) if final else F.lit(0)) * (2 * (F.col("left") - F.col("e.before")) >= F.col("e.t")).cast("int")
         state = stage(
             state.select(
@@ -104,11 +109,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, doc_id: s
     counted = token_counts(named.filter("source is not null"), ["doc_id", "source"], tokenizer=tokenizer)
     counted = stage(counted.withColumn("hash", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << BITS * LEVELS) - 1))))
     plan = stage(budgets(counted.groupBy("source").agg(F.sum("tokens").alias("available")), targets, total))
-    if not fits_broadcast(plan, MOST_SOURCES):
-        raise ValueError(f"more than {MOST_SOURCES} sources are targeted")
-    limits = plan.select("source", "whole").join(thresholds(counted, plan), "source")
+    limits = stage(plan.select("source", "whole").join(thresholds(counted, plan), "source"))
     copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("bigint")
-    drawn = counted.join(F.broadcast(limits), "source").select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
+    drawn = join_checked(counted, limits, "source").select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
     sums = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.sum("copies").alias("drawn_texts"))
     every = Window.partitionBy()  # one row a targeted source
     report = plan.join(sums, "source", "left").fillna(0, ["drawn_tokens", "drawn_texts"])

@@ -23,28 +23,30 @@ AUDIT_FIELDS = ("sources", "conflict_fields", "chosen_sources")
 SEASON_KEYS = ("player_id", "season", "league", "regular_season", "club")
 
 
-def _line_survivors(spark: SparkSession, d: str) -> tuple[DataFrame, s1.Survivorship]:
+def _line_survivors(spark: SparkSession, d: str, values: bool) -> tuple[DataFrame, s1.Survivorship]:
     spec = s1.Survivorship(SEASON_KEYS, "line_id", "loaded_at", LINE_FIELDS, "trust_level", "source")
     trust = table(spark, d, "source_trust").groupBy("source").agg(F.max("trust_level").alias("trust_level"))
-    lines = s1.with_club(table(spark, d, "season_stat_lines").drop("timing", "source_id", "source_url", "goalie_minutes"), table(spark, d, "team_aliases"))
-    return s1.survive(s1.join_checked(lines, trust, "source", "left"), spec), spec
+    rows = table(spark, d, "season_stat_lines").drop("timing", "source_id", "source_url", "goalie_minutes")
+    trusted = lambda df: s1.join_checked(df, trust, "source", "left")
+    lines = s1.with_club(trusted(rows), table(spark, d, "team_aliases"))
+    return s1.survive(lines, spec, values, trusted(rows.select("line_id", "source", "loaded_at"))), spec
 
 
-def _audit_survivors(spark: SparkSession, d: str) -> tuple[DataFrame, s1.Survivorship]:
+def _audit_survivors(spark: SparkSession, d: str, values: bool) -> tuple[DataFrame, s1.Survivorship]:
     same = {f: F.nullif(F.to_json(packed_values(F.col(f))), F.lit("[]")) for f in AUDIT_FIELDS}
     spec = s1.Survivorship(SEASON_KEYS, "audit_id", "run_at", AUDIT_FIELDS, compare=same)
-    runs = s1.with_club(table(spark, d, "stat_reconciliation_audit").drop("row_count", "action"), table(spark, d, "team_aliases"))
-    return s1.survive(runs, spec), spec
+    rows = table(spark, d, "stat_reconciliation_audit").drop("row_count", "action")
+    return s1.survive(s1.with_club(rows, table(spark, d, "team_aliases")), spec, values, rows.select("audit_id", "run_at")), spec
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    lines, line_spec = _line_survivors(spark, d)
-    runs, run_spec = _audit_survivors(spark, d)
+    lines, line_spec = _line_survivors(spark, d, False)
+    runs, run_spec = _audit_survivors(spark, d, False)
     return s1.conflict_cases(lines, line_spec, "season_stat_lines").unionByName(s1.conflict_cases(runs, run_spec, "stat_reconciliation_audit"))
 
 
 def p1_golden_lines(spark: SparkSession, d: str) -> DataFrame:
-    return s1.golden_records(*_line_survivors(spark, d))
+    return s1.golden_records(*_line_survivors(spark, d, True))
 
 
 NAME_CELLS = (("russian_open_stats_2024", "row_no", "name"), ("ep_pdf_match_audit", "match_row", "source_name"), ("ep_pdf_match_audit", "match_row", "base_name"))
@@ -85,7 +87,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "board").select("board_id", "player_id", F.lower(F.trim("role_group")).alias("role_group"), "adjusted_ppg", "loaded_at", "board_row_id")
-    current = s7.latest(rows, ["board_id", "player_id"], "loaded_at", "board_row_id")
+    current = s7.stage(s7.latest(rows, ["board_id", "player_id"], "loaded_at", "board_row_id"))
     return s7.top_n(current, ["board_id", "role_group"], "adjusted_ppg", ["player_id"], 3, "role_rank").select("board_id", "role_group", "role_rank", "player_id")
 
 

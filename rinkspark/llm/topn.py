@@ -1,13 +1,11 @@
 """Top N items within every group, by per-group score histograms.
 
-1. Scores are counted per group and bucket (equal widths between the group's extremes; infinite scores have buckets of
-   their own). 2. From the top, the bucket in which the count reaches N is the group's lower threshold: at least N rows
-   are in it or above. 3. Rows below the threshold go. 4. The rest is ranked exactly with the tie keys; Spark limits
-   each map task's rows to N a group before the shuffle (WindowGroupLimit), so a million ties in the threshold bucket
-   don't meet in one task.
-
-Thresholds are needed for large groups only. A group is large from ``1 / MAX_LARGE`` of all rows on, so at most
-MAX_LARGE thresholds exist: that bounds the broadcast whatever the size of the input. Smaller groups are ranked whole.
+1. Scores of groups of more than N rows are counted per group and bucket (equal widths between the group's extremes;
+infinite scores have buckets of their own). 2. From the top, the bucket in which the count reaches N is the group's lower
+threshold: at least N rows are in it or above. 3. Where that bucket holds many more rows than are still needed, it is divided
+again, as long as that helps: an outlier can't keep a whole group in one bucket. 4. Rows below the thresholds go. The
+rest is ranked exactly with the tie keys; Spark limits each map task's rows to N a group before the shuffle
+(WindowGroupLimit), so a million ties at the threshold don't meet in one task.
 """
 
 from __future__ import annotations
@@ -15,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import stage
+from ..plans.runtime import join_checked, stage
 
 BUCKETS = 128
-MAX_LARGE = 10_000
+#: A threshold's bucket is divided again while it holds more than this many times N rows, at most LEVELS times.
+COARSE, LEVELS = 8, 6
 
 
 def latest(df: DataFrame, keys: list[str], updated: str, row_id: str) -> DataFrame:
@@ -35,28 +34,48 @@ def _bucket(score: Column, low: Column, high: Column) -> Column:
     return F.when(score == float("inf"), BUCKETS + 1).when(score == float("-inf"), 0).otherwise(inside)
 
 
+def _thresholds(rows: DataFrame, keys: list[str], value: Column, n: int) -> DataFrame:
+    """(keys, __least): per group of more than ``n`` rows a score that at least ``n`` rows reach.
+
+    ``rows`` have non-null ``keys``. Only groups whose threshold bucket is still coarse are counted again, within that bucket.
+    """
+    finite = F.when(F.abs(value) != float("inf"), value)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(finite).alias("__low"), F.max(finite).alias("__high"))
+    open_ = stage(sizes.filter(F.col("__n") > n).select(*keys, "__low", "__high", F.lit(n).cast("bigint").alias("__need")))
+    out = None
+    for level in range(LEVELS):
+        inside = join_checked(rows.select(*keys, value.alias("__v")), open_, keys)
+        if level:
+            inside = inside.filter((F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high")))
+        bucket = _bucket(F.col("__v"), F.col("__low"), F.col("__high"))
+        counts = inside.groupBy(*keys, "__need", bucket.alias("__b")).agg(F.count("*").alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        above = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__b").desc()))  # at most BUCKETS + 2 rows a group
+        first = counts.withColumn("__above", above).filter(F.col("__above") >= F.col("__need"))
+        first = first.groupBy(*keys).agg(F.max_by(F.struct("__low", "__high", "__c", "__above", "__need"), "__b").alias("s")).select(*keys, "s.*")
+        first = stage(first.withColumn("__need", F.col("__need") - F.col("__above") + F.col("__c")))
+        coarse = (F.col("__c") > COARSE * n) & (F.col("__low") < F.col("__high")) & (F.lit(level) < LEVELS - 1)
+        done = first.filter(~coarse).select(*keys, F.col("__low").alias("__least"))
+        out = done if out is None else out.unionByName(done)
+        open_ = first.filter(coarse).select(*keys, "__low", "__high", "__need")
+        if open_.isEmpty():
+            break
+    return out
+
+
 def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int, rank: str = "rank") -> DataFrame:
     """The ``n`` rows of each group with the highest ``score`` (double), ties by ``ties`` ascending, with ``rank`` from 1.
 
     Null and NaN scores do not rank. A null group value is a group of its own. Rows equal in score and all tie keys
     are interchangeable; repeated rows rank repeatedly. A column called ``rank`` in ``df`` is replaced. Empty stays empty.
+    ``df`` is read several times: it should be a table or staged.
     """
     value = F.col(f"`{score}`")
     rows = df.drop(rank).filter(value.isNotNull() & ~F.isnan(value))
-    finite = F.when(F.abs(value) != float("inf"), value)
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("__n"), F.min(finite).alias("__low"), F.max(finite).alias("__high"))
-    sizes = stage(sizes)
-    total = sizes.agg(F.sum("__n")).first()[0] or 0
-    large = sizes.filter((F.col("__n") > total / MAX_LARGE) & (F.col("__n") > n))  # at most MAX_LARGE rows, by their count
-    spans = large.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__low", "__high", F.lit(True).alias("__large"))
-    on = [F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
-    placed = rows.join(F.broadcast(spans), on, "left").withColumn("__bucket", F.when(F.col("__large"), _bucket(value, F.col("__low"), F.col("__high"))))
     keys = [f"__g{i}" for i in range(len(groups))]
-    counts = placed.filter("__bucket is not null").groupBy(*keys, "__bucket").agg(F.count("*").alias("__c"))
-    above = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__bucket").desc()))
-    limits = counts.withColumn("__above", above).filter(F.col("__above") >= n).groupBy(*keys).agg(F.max("__bucket").alias("__limit"))
-    limits = limits.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)], "__limit")
-    near = [F.col(k).eqNullSafe(F.col(f"__l{i}")) for i, k in enumerate(keys)]
-    kept = placed.join(F.broadcast(limits), near, "left").filter(F.col("__bucket").isNull() | F.col("__limit").isNull() | (F.col("__bucket") >= F.col("__limit")))
+    # Keys without nulls, so that they can be joined: a flag beside the value.
+    solid = [F.struct(F.col(f"`{g}`").isNull().alias("gone"), F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("")).alias("v")).alias(k) for g, k in zip(groups, keys)]
+    keyed = rows.select("*", *solid)
+    limits = stage(_thresholds(keyed.select(*keys, value.alias("__score")), keys, F.col("__score"), n))
+    kept = join_checked(keyed, limits, keys, "left").filter(F.col("__least").isNull() | (value >= F.col("__least")))
     order = Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(value.desc(), *[F.col(f"`{t}`").asc() for t in ties])
     return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= n).select(*rows.columns, F.col(rank).cast("int").alias(rank))

@@ -46,6 +46,9 @@ def test_leaks_brute_force(spark):
     found = lk.find_leaks(docs_df, items_df).collect()
     assert {(r.doc_id, r.item_id) for r in found if r.errors == 0} == {(d, i) for d, t in docs for i in leaked(t, items)}
     assert all(r.words < lk.WINDOW for r in found if r.errors)
+    parsed = [(i, words(t)) for i, t in items]
+    near = {(d, i) for d, t in docs for i, w in parsed if len(w) >= lk.WINDOW and lk.window_errors(w, range(len(w) - lk.WINDOW + 1), words(t) or [""]) <= lk.ERRORS}
+    assert {(r.doc_id, r.item_id) for r in found} == near and len({(r.doc_id, r.item_id) for r in found if r.errors}) > 5
     assert lk.find_leaks(docs_df.limit(0), items_df).count() == 0 and lk.find_leaks(docs_df, items_df.limit(0)).count() == 0
 
 
