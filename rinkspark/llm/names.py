@@ -2,9 +2,9 @@
 
 A spelling is read as tokens; every token order is tried as (first name, surname). First names are resolved over a
 dictionary (registered first names, nicknames learned from the spellings themselves). Registered names are sharded by
-first name and surname length, large shards split by hash; each shard builds a trie of its surnames and runs each
-query's Levenshtein automaton over it, which enumerates the surnames within ``MAX_EDITS``. Both sides of a shard are
-bounded: names by splitting, queries by salting. Spellings whose folded form equals a registered name need no trie.
+first name and surname length, large shards routed by pieces of the name; each shard builds a trie of its surnames and
+runs each query's Levenshtein automaton over it, which enumerates the surnames within ``MAX_EDITS``, of which those count
+that leave half of the letters as they are. Spellings whose folded form equals a registered name need no trie.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,36 +149,89 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 READ = "name string, readings array<struct<f:string,l:string>>, nicks array<struct<nick:string,f:string>>"
 
 
+def _piece(text: Column, length: Column, i: int, edits: int, shift: Column | None = None) -> Column:
+    """The i-th of ``edits`` + 1 nearly equal pieces of names of ``length``; with ``shift``, letters moved so in ``text``."""
+    k = edits + 1
+    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
+    start = base * i + F.greatest(F.lit(i) - (F.lit(k) - longer), F.lit(0))
+    size = base + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
+    at = start if shift is None else start + shift
+    inside = (at >= 0) & (at + size <= F.length(text))
+    return F.when(inside, F.concat(F.lit(f"{i}:"), F.substring(text, at + 1, size)))
+
+
+def _routes(query: Column, length: Column, edits: int) -> Column:
+    """Every piece that a name of ``length`` within ``edits`` of ``query`` may share with it, at the places where it may stand.
+
+    One of ``edits`` + 1 pieces is free of edits; before it and behind it together at most ``edits`` letters were put in
+    or taken out, which bounds how far it has moved.
+    """
+    out = []
+    surplus = F.length(query) - length
+    for i in range(edits + 1):
+        for move in range(-edits, edits + 1):
+            shift = F.lit(move)
+            fits = (F.abs(shift) + F.abs(surplus - shift)) <= edits
+            out.append(F.when(fits, _piece(query, length, i, edits, shift)))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
 def trie_join(queries: DataFrame, names: DataFrame, keys: list[str], query: str, name: str, edits: int = MAX_EDITS) -> DataFrame:
     """(keys, query, name, edits) of all pairs with equal ``keys`` and at most ``edits`` edits (a swap counts one).
 
-    Both sides are made distinct. Shards are (keys, length of the name), split by hash beyond SHARD_NAMES names and
-    SHARD_QUERIES queries, so no task holds more of either. Pairs found are those within ``edits`` single-letter edits.
+    Both sides are made distinct. Shards are (keys, length of the name). Names of a shard of more than SHARD_NAMES are routed by
+    their pieces (pigeonhole), so a query meets only those that share a piece with it. Of a shard with many queries
+    each part builds the trie once for at least as many queries as it has names. Pairs found are those within ``edits``
+    single-letter edits; a pair may come out once a shared piece.
     """
     slim = names.select(*keys, F.col(name).alias("__n")).dropna().distinct().withColumn("__len", F.length("__n"))
     asked = queries.select(*keys, F.col(query).alias("__q")).dropna().distinct()
     asked = asked.withColumn("__len", F.explode(F.sequence(F.greatest(F.length("__q") - edits, F.lit(1)), F.length("__q") + edits)))
     on = [*keys, "__len"]
-    parts = slim.groupBy(*on).agg(F.ceil(F.count("*") / SHARD_NAMES).cast("int").alias("__ns"))
-    loads = asked.groupBy(*on).agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("__qs"))
-    split = stage(parts.join(loads, on))
-    cut = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-    left = join_checked(asked, split, on).withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__ns") - 1))).withColumn("__b", cut("__q", "__qs"))
-    right = join_checked(slim, split, on).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__qs") - 1))).withColumn("__a", cut("__n", "__ns"))
-    shard = [*on, "__a", "__b"]
+    big = stage(slim.groupBy(*on).agg(F.count("*").alias("__ns")).filter(F.col("__ns") > SHARD_NAMES).select(*on, F.lit(True).alias("__big")))
+    whole = F.array(F.lit(""))
+    shard = [*on, "__piece"]
+    if big.isEmpty():
+        right, left = slim.withColumn("__piece", F.lit("")), asked.withColumn("__piece", F.lit(""))
+    else:
+        pieces = F.array(*[_piece(F.col("__n"), F.col("__len"), i, edits) for i in range(edits + 1)])
+        right = join_checked(slim, big, on, "left").select(*on, "__n", F.explode(F.when(F.col("__big"), pieces).otherwise(whole)).alias("__piece"))
+        left = join_checked(asked, big, on, "left").select(*on, "__q", F.explode(F.when(F.col("__big"), _routes(F.col("__q"), F.col("__len"), edits)).otherwise(whole)).alias("__piece"))
+    loads = left.groupBy(*shard).agg(F.count("*").alias("__qs")).filter(F.col("__qs") > SHARD_QUERIES)
+    hot = stage(loads.join(right.groupBy(*shard).agg(F.count("*").alias("__ns")), shard).select(*shard, F.ceil(F.col("__qs") / F.greatest(F.lit(SHARD_QUERIES), F.col("__ns"))).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        left, right = left.withColumn("__part", F.lit(0)), right.withColumn("__part", F.lit(0))
+    else:
+        parts = F.coalesce("__parts", F.lit(1))
+        left = join_checked(left, hot, shard, "left").withColumn("__part", F.pmod(F.xxhash64("__q"), parts).cast("int")).drop("__parts")
+        right = join_checked(right, hot, shard, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    n = tasks(left)  # a stated number: shards are few bytes, and would else be merged into few tasks
+    bucket = F.pmod(F.xxhash64(*shard, "__part"), F.lit(n)).cast("int")
+    left, right = left.withColumn("__bucket", bucket), right.withColumn("__bucket", bucket)
     kinds = dict(slim.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{query}` string", f"`{name}` string", "edits int"])
-
-    def run(key: tuple, asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asks) and len(have):
-            trie = build_trie(list(have["__n"]))
-            for q in asks["__q"]:
-                found += [(*key[: len(keys)], q, n, osa(q, n)) for n in neighbours(trie, q, edits, int(key[len(keys)]))]
+    columns = [*shard, "__part"]
+
+    def run(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        found, members = [], {}
+        for *at, known in zip(*[have[c] for c in columns], have["__n"]):
+            members.setdefault(tuple(at), []).append(known)
+        asking: dict[tuple, list[str]] = {}
+        for *at, q in zip(*[asks[c] for c in columns], asks["__q"]):
+            asking.setdefault(tuple(at), []).append(q)
+        for at, qs in asking.items():
+            if at in members:
+                trie = build_trie(members[at])
+                for q in qs:
+                    found += [(*at[: len(keys)], q, known, osa(q, known)) for known in neighbours(trie, q, edits, int(at[len(keys)]))]
         return pd.DataFrame(found, columns=[*keys, query, name, "edits"])
 
-    n = tasks(left)  # a stated number: shards are few bytes, and would else be merged into few tasks
-    return left.repartition(n, *shard).groupBy(*shard).cogroup(right.repartition(n, *shard).groupBy(*shard)).applyInPandas(run, schema)
+    return left.repartition(n, "__bucket").groupBy("__bucket").cogroup(right.repartition(n, "__bucket").groupBy("__bucket")).applyInPandas(run, schema)
+
+
+def alike(query: str) -> Column:
+    """Whether at least half of the letters of ``query`` are free of edits."""
+    return 2 * F.col("edits") <= F.length(query)
 
 
 def _first_vocabulary(known: DataFrame, nicks: DataFrame) -> DataFrame:
@@ -189,10 +242,8 @@ def _first_vocabulary(known: DataFrame, nicks: DataFrame) -> DataFrame:
 
 def _near_first_names(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(f, first, cost): the first names that are one or two edits from a written one, registered itself or not."""
-    rest = asked.filter("length(f) > 2")
-    near = trie_join(rest.withColumn("__one", F.lit(1)), vocabulary.withColumn("__one", F.lit(1)), ["__one"], "f", "word").filter("edits > 0")
-    close = (F.col("edits") == 1) & (F.length("f") >= 3) | (F.length("f") >= 5)
-    guessed = near.filter(close).join(vocabulary, "word").select("f", "first", (F.col("edits") + F.col("extra")).alias("cost"))
+    near = trie_join(asked, vocabulary, [], "f", "word").filter("edits > 0")
+    guessed = near.filter(alike("f")).join(vocabulary, "word").select("f", "first", (F.col("edits") + F.col("extra")).alias("cost"))
     return guessed.groupBy("f", "first").agg(F.min("cost").alias("cost"))
 
 
@@ -237,11 +288,18 @@ def link_spellings(spellings: DataFrame, registered_names: DataFrame, name: str
     def guesses(rows: DataFrame, found: DataFrame) -> DataFrame:
         """Registered surnames near those of ``rows``, where an edit can still do as well as what is ``found``."""
         least = found.groupBy("name").agg(F.min("cost").alias("least"))
-        rest = rows.filter("length(l) > 3").join(least, "name", "left").filter((F.col("cost") + 1 <= F.coalesce("least", F.lit(MAX_EDITS + 1.0))))
-        near = trie_join(rest, pairs, ["first"], "l", "last").filter((F.col("edits") == 1) | (F.length("l") >= 6))
+        rest = rows.join(least, "name", "left").filter((F.col("cost") + 1 <= F.coalesce("least", F.lit(MAX_EDITS + 1.0))))
+        near = trie_join(rest, pairs, ["first"], "l", "last").filter(alike("l"))
         cost = (F.col("cost") + F.col("edits")).alias("cost")
         return rest.join(near, ["first", "l"]).select("name", "first", "last", cost).filter(F.col("cost") <= MAX_EDITS + 1)
 
+    def by_initial(found: DataFrame) -> DataFrame:
+        """For spellings with an initial that nothing was found for: the surname that is one edit away."""
+        rest = asked.filter("length(f) = 1").join(found.select("name"), "name", "left_anti")
+        known = pairs.select(F.substring("first", 1, 1).alias("f"), "first", "last")
+        near = trie_join(rest, known, ["f"], "l", "last").filter("edits <= 1").filter(alike("l"))
+        return rest.join(near, ["f", "l"]).join(known, ["f", "last"]).select("name", "first", "last", (F.col("edits") + 0.5).alias("cost"))
+
     written = tries(asked, vocabulary.select(F.col("word").alias("f"), "first", F.col("extra").alias("cost")))
     initials = asked.filter("length(f) = 1").join(pairs.select("first", F.col("last").alias("l"), F.substring("first", 1, 1).alias("f")), ["f", "l"])
     whole = stage(whole_of(written).unionByName(initials.select("name", "first", F.col("l").alias("last"), F.lit(0.5).alias("cost"))))
@@ -251,7 +309,7 @@ def link_spellings(spellings: DataFrame, registered_names: DataFrame, name: str
     near = tries(left, stage(_near_first_names(left.select("f").filter("length(f) > 1").distinct(), vocabulary)))
     found = stage(whole.unionByName(whole_of(near)))
     found = stage(found.unionByName(guesses(written, found)))
-    found = found.unionByName(guesses(near, found))
+    found = found.unionByName(guesses(near, found)).unionByName(by_initial(found))
     least = found.groupBy("name").agg(F.min("cost").alias("least"))
     return found.join(least, "name").filter("cost = least").groupBy(F.col("name").alias("spelling"), "first", "last").agg(F.min("cost").alias("cost"))
 

@@ -77,13 +77,12 @@ def brute_top(rows, k):
     return sorted((repr(g), i, -v, t) for g, items in groups.items() for i, (v, t) in enumerate(sorted(items)[:k], 1))
 
 
-@pytest.mark.parametrize("large", [topn.MAX_LARGE, 3])
-def test_top_n_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(topn, "MAX_LARGE", large)
+def test_top_n_brute_force(spark):
     rng = random.Random(4)
     scores = [None, math.nan, math.inf, -math.inf, 0.0, 1.0, 1.0, 5.5] + [rng.gauss(0, 1) for _ in range(40)]
     rows = [(rng.choice(["a"] * 20 + ["b", "c", None, "same"]), rng.choice(scores), i) for i in range(3000)]
     rows = [(g, 1.0 if g == "same" else v, t) for g, v, t in rows]
+    rows += [("outlier", 1e9 if i == 0 else rng.random(), i) for i in range(500)]  # equal widths alone keep all of it
     df = spark.createDataFrame(rows, "g string, v double, t int").withColumn("rank", F.lit("old"))
     for k in (1, 3, 10):
         got = sorted((repr(r.g), r["rank"], r.v, r.t) for r in topn.top_n(df, ["g"], "v", ["t"], k).collect())
@@ -91,6 +90,13 @@ def test_top_n_brute_force(spark, monkeypatch, large):
     assert topn.top_n(df.limit(0), ["g"], "v", ["t"], 3).count() == 0
 
 
+def test_thresholds_of_a_group_with_an_outlier(spark):
+    rows = [("a", 1e9 if i == 0 else float(i), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "__g0 string, v double, i int")
+    least = {r["__g0"]: r["__least"] for r in topn._thresholds(df, ["__g0"], F.col("v"), 3).collect()}
+    assert 3 <= sum(v >= least["a"] for _, v, _ in rows) <= 3 * topn.COARSE + 3
+
+
 def test_latest_takes_last_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "x", day(1)), (2, "x", day(2)), (3, "x", day(2)), (4, "y", None)], "id int, k string, at timestamp")
     assert {(r.k, r.id) for r in topn.latest(df, ["k"], "at", "id").collect()} == {("x", 3), ("y", 4)}
@@ -116,7 +122,7 @@ def test_trie_finds_what_brute_force_finds():
             assert sorted(n.neighbours(trie, w, e)) == sorted(x for x in words if lev(w, x) <= e)
 
 
-@pytest.mark.parametrize("names, queries", [(20_000, 20_000), (7, 5)])
+@pytest.mark.parametrize("names, queries", [(20_000, 20_000), (3, 5), (0, 1)])
 def test_trie_join_shards(spark, monkeypatch, names, queries):
     monkeypatch.setattr(n, "SHARD_NAMES", names)
     monkeypatch.setattr(n, "SHARD_QUERIES", queries)
@@ -129,6 +135,13 @@ def test_trie_join_shards(spark, monkeypatch, names, queries):
     assert got == {(w, x) for k, w in left if k == "k" and w for x in n.neighbours(trie, w, 2)}
 
 
+def test_short_names_and_initials_with_an_error(spark):
+    known = spark.createDataFrame([("Anton Kim",), ("Anton Hall",), ("Li Gramatov",), ("Erik Volmasveneau",)], "name string")
+    spelled = ["Anton Kin", "Anton Hxll", "Lo Gramatov", "E. Volmasvenneaw", "E. Volmasxenaau"]
+    got = {r.spelling: r.last for r in n.link_spellings(spark.createDataFrame([(x,) for x in spelled], "name string"), known).collect()}
+    assert got == {"Anton Kin": "kim", "Anton Hxll": "hal", "Lo Gramatov": "gramatov", "E. Volmasvenneaw": n.sound("Volmasveneau")}
+
+
 def test_readings():
     assert n.sound("Feborinccis") == n.sound("Feborinckis") and n.sound("Vedotiroff") == n.sound("Wedotirov") and n.sound("Väinö") == n.sound("Vaeinö")
     assert ("bradlei", "davarasen") in n.read_spelling("Брадлеы Даварассен")[0]
@@ -157,30 +170,50 @@ def test_registered_first_name_may_stand_for_a_near_one(spark):
     assert got == {k: n.read_spelling(v)[0][0] for k, v in want.items()}
 
 
-def test_bm25_equals_brute_force(spark):
-    rng = random.Random(7)
-    tok = lambda: sorted({"name:" + rng.choice("abcdef"), "x:" + rng.choice("pqrs"), "x:" + rng.choice("pqrs"), "hot:1"} - ({"hot:1"} if rng.random() < 0.2 else set()))
-    records, queries = [(f"r{i}", tok()) for i in range(80)], [(f"q{i}", tok()) for i in range(40)] + [("none", [])]
-    weights = {"name": 1.0, "x": 0.5, "hot": 0.3}
-    df_of = {}
+def bm25_brute(queries, records, weights):
+    counts = {}
     for _, ts in records:
         for t in ts:
-            df_of[t] = df_of.get(t, 0) + 1
+            counts[t] = counts.get(t, 0) + 1
     average = sum(len(t) for _, t in records) / len(records)
-    value = {t: math.log(1 + (len(records) - d + 0.5) / (d + 0.5)) * weights[t.split(":")[0]] for t, d in df_of.items()}
-    want = {}
+    value = {t: math.log(1 + (len(records) - d + 0.5) / (d + 0.5)) * weights[t.split(":")[0]] for t, d in counts.items()}
+    out = {}
     for qid, qt in queries:
         possible = sum(value.get(t, 0) for t in qt)
-        for rid, rt in records:
-            both = set(qt) & set(rt)
-            score = sum(value[t] for t in both) * (m.K1 + 1) / (1 + m.K1 * (1 - m.B + m.B * len(rt) / average))
-            if any(t.startswith("name:") for t in both) and score >= 0.6 * possible:
-                want[qid, rid] = score
+        shares = sorted(((-sum(value[t] for t in set(qt) & set(rt)) * (m.K1 + 1) / (1 + m.K1 * (1 - m.B + m.B * len(rt) / average)) / possible, rid) for rid, rt in records), key=lambda x: (round(x[0], 9), x[1])) if possible else []
+        out |= {(qid, place): (rid, -v) for place, (v, rid) in enumerate(shares[: m.TOP], 1) if -v >= m.FLOOR}
+    return out
+
+
+@pytest.mark.parametrize("shard, block, seeds", [(25_000, 5_000, 16), (17, 9, 2)])
+def test_bm25_equals_brute_force(spark, monkeypatch, shard, block, seeds):
+    for name, v in (("SHARD_RECORDS", shard), ("BLOCK_QUERIES", block), ("SEEDS", seeds)):
+        monkeypatch.setattr(m, name, v)
+    rng = random.Random(7)
+    tok = lambda: sorted({"name:" + rng.choice("abcdef"), "x:" + rng.choice("pqrs"), "x:" + rng.choice("pqrs"), "hot:1"} - ({"hot:1"} if rng.random() < 0.2 else set()))
+    records, queries = [(f"r{i:02}", tok()) for i in range(80)] + [("null", [])], [(f"q{i}", tok()) for i in range(40)] + [("none", []), ("new", ["name:zzz"])]
+    kinds = m.Kinds({"n": {"name": 1.0}, "rest": {"x": 0.5, "hot": 0.3}})
+    schema = lambda k: f"{k} string, tokens array<string>"
+    left, right = spark.createDataFrame(queries + [("no", None)], schema("qid")), spark.createDataFrame(records, schema("rid"))
+    rows = m.bm25_top(left, right, kinds).collect()
+    want = bm25_brute(queries, records, {"name": 1.0, "x": 0.5, "hot": 0.3})
+    assert {(r.qid, r.place) for r in rows} == want.keys()
+    assert all(r.rid == want[r.qid, r.place][0] and abs(r.share - want[r.qid, r.place][1]) < 1e-9 for r in rows)
+    assert m.bm25_top(left, right.limit(0), kinds).count() == 0 and m.bm25_top(left.limit(0), right, kinds).count() == 0
+
+
+def test_confidence_is_calibrated_without_labels(spark):
+    rng = random.Random(2)
+    person = lambda: [f"a:{rng.randrange(300)}", f"b:{rng.randrange(300)}", f"c:{rng.randrange(40)}", f"d:{rng.randrange(12)}"]
+    records = [(f"r{i}", person()) for i in range(600)]
+    copies = [(f"q{i}", [t if rng.random() < 0.9 else person()[k] for k, t in enumerate(records[i][1])]) for i in range(300)]
+    strangers = [(f"s{i}", person()) for i in range(100)]
+    kinds = m.Kinds({k: {k: 1.0} for k in "abcd"})
     schema = lambda k: f"{k} string, tokens array<string>"
-    got = {(r.qid, r.rid): r.score for r in m.bm25_candidates(spark.createDataFrame(queries, schema("qid")), spark.createDataFrame(records, schema("rid")), weights, "name", 0.6).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    empty = spark.createDataFrame([], schema("rid"))
-    assert m.bm25_candidates(spark.createDataFrame(queries, schema("qid")), empty, weights, "name").count() == 0
+    pairs = m.features(m.bm25_top(spark.createDataFrame(copies + strangers, schema("qid")), spark.createDataFrame(records, schema("rid")), kinds)).cache()
+    rows = m.with_confidence(m.nearest(pairs), m.calibrate(pairs)).filter("match_score >= 0.5").collect()
+    right = sum(r.qid[1:] == r.rid[1:] and r.qid[0] == "q" for r in rows)
+    assert right >= 0.9 * len(rows) and right >= 200
 
 
 def test_matches_have_scores(spark, small):
