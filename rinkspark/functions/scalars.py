@@ -9,10 +9,13 @@ from ..sources.tables import NULL_MARKS
 from .text import alnum_key, blank_to_null, fold
 
 # Given names that stand for the same person.
-GIVEN_NAMES = {"alex": "alexander", "matt": "matthew", "mike": "michael", "nick": "nicholas", "josh": "joshua", "sam": "samuel", "will": "william", "zach": "zachary", "cam": "cameron", "ben": "benjamin", "jake": "jacob", "joe": "joseph"}
-# Cyrillic letters in Latin spelling (two letters or more are replaced one by one).
-CYRILLIC_ONE = ("абвгдезийклмнопрстуфхъыьэё", "abvgdeziyklmnoprstufh ' 'ee")
-CYRILLIC_MORE = {"ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya"}
+GIVEN_NAMES = {"egor": "yegor", "jack": "john", "jake": "jacob", "jc": "jeanchristophe", "mitch": "mitchell", "nick": "nicholas", "tony": "anthony", "will": "william"}
+# Cyrillic letters in Latin spelling.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
 # Suffixes of names.
 NAME_SUFFIX = "(?i)[\\s,]+(?:jr|sr|ii|iii|iv|v)\\.?$"
 
@@ -59,10 +62,13 @@ def given_first(name: Column) -> Column:
 
 
 def transliterate(text: Column) -> Column:
-    out = F.translate(F.lower(text), *CYRILLIC_ONE)
-    for letter, latin in CYRILLIC_MORE.items():
-        out = F.replace(out, F.lit(letter), F.lit(latin))
-    return F.replace(F.replace(out, F.lit(" '"), F.lit("")), F.lit("'"), F.lit(""))
+    """Lower case, every Cyrillic letter in Latin spelling (the signs are left out)."""
+    one = {letter: latin for letter, latin in CYRILLIC.items() if len(latin) == 1}
+    out = F.translate(F.lower(text), "".join(one), "".join(one.values()))
+    for letter, latin in CYRILLIC.items():
+        if len(latin) != 1:
+            out = F.replace(out, F.lit(letter), F.lit(latin))
+    return out
 
 
 def slug(text: Column, joiner: str = "-") -> Column:

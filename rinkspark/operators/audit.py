@@ -36,12 +36,14 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: ``n_rows`` and ``digest``, the same for the same rows in any order, with repeats counted.
 
-    The digest adds two independent 64-bit row hashes modulo 2^31; it is aggregated before it is shuffled.
+    A row is the text of its cells in order of the column names. The digest adds both 60-bit halves of the rows' md5 as whole
+    numbers of 38 digits, so any engine with md5 can recompute it; sums are made before the shuffle.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    text = F.to_json(row, {"ignoreNullFields": "false"})
-    sums = [F.sum(F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 31))).cast("string") for seed in (1, 2)]
-    return df.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("digest"))
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
+    mark = F.md5(F.concat_ws("\x1f", *cells))
+    half = lambda at: F.sum(F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(38,0)"))
+    sums = [F.coalesce(half(at), F.lit(0).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
+    return df.agg(F.count("*").alias("n_rows"), F.md5(F.concat_ws(":", F.count("*").cast("string"), *sums)).alias("digest"))
 
 
 def threshold_checks(metrics: DataFrame, limits: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import join_checked
+from ..plans.ranks import places
+from ..plans.runtime import join_checked, stage
 
 # The descent's settings.
 STEPS, RATE, PENALTY = 600, 0.08, 0.01
@@ -62,10 +63,10 @@ def cross_validated(rows: DataFrame, groups: list[str], features: list[str], lab
 
     The fold is the place by ``row_id`` within the group, modulo ``folds``. A group of one fold is scored by itself.
     """
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy(row_id)) - 1
-    folded = rows.withColumn("fold", (place % folds).cast("int"))
+    placed = stage(places(rows, groups, [F.col(row_id)], "__place", "__rows"))
+    folded = placed.withColumn("fold", ((F.col("__place") - 1) % folds).cast("int"))
     every = folded.withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    size = F.size(F.collect_set("fold").over(Window.partitionBy(*groups)))
-    train = every.withColumn("__f", size).filter((F.col("fold") != F.col("held_out")) | (F.col("__f") == 1)).drop("__f")
+    train = every.filter((F.col("fold") != F.col("held_out")) | (F.col("__rows") == 1)).drop("__place", "__rows")
+    folded = folded.drop("__place", "__rows")
     models = fit_groups(train, [*groups, "held_out"], features, label, row_id)
     return predict(folded.withColumn("held_out", F.col("fold")), models, [*groups, "held_out"], features).drop("held_out")

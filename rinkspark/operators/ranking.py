@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clamp
+from ..plans.ranks import places, running_total
+from ..plans.runtime import join_checked, stage
+
 
 def rank_in_group(df: DataFrame, groups: list[str], score: str, ties: list[Column], top: int = 5, top_bonus: float = 0.08, high: float = 0.9, high_bonus: float = 0.04) -> DataFrame:
     """``role_rank`` (score descending, then ``ties``), ``role_count``, ``role_percentile`` and ``role_bonus``.
 
     The percentile is 1 for the first and 0 for the last, 1 in a group of one.
     """
-    order = Window.partitionBy(*groups).orderBy(F.col(score).desc(), *ties)
-    ranked = df.withColumns({"role_rank": F.row_number().over(order), "role_count": F.count("*").over(Window.partitionBy(*groups))})
+    ranked = places(df, groups, [F.col(score).desc(), *ties], "role_rank", "role_count")
+    ranked = ranked.withColumns({c: F.col(c).cast("int") for c in ("role_rank", "role_count")})
     percentile = F.when(F.col("role_count") == 1, F.lit(1.0)).otherwise((F.col("role_count") - F.col("role_rank")) / (F.col("role_count") - 1))
     bonus = F.when(F.col("role_rank") <= top, F.lit(top_bonus)).when(percentile >= high, F.lit(high_bonus)).otherwise(F.lit(0.0))
     return ranked.withColumns({"role_percentile": percentile, "role_bonus": bonus})
@@ -21,13 +25,14 @@ def rank_in_group(df: DataFrame, groups: list[str], score: str, ties: list[Colum
 def mid_ranks(df: DataFrame, value: str, name: str, groups: list[str] | None = None) -> DataFrame:
     """``df`` with the average rank (from 1, ascending) of ``value``, equal values sharing one.
 
-    Ranks come from counts per distinct value, so only the distinct values of a group meet in one task.
+    Ranks come from counts per distinct value, added up over range partitions; neither a group nor its distinct values meet in
+    one task. A value that many rows hold is joined salted or broadcast. Null values have no rank and are left out.
     """
     keys = groups or []
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value))
-    places = counts.withColumn(name, upto - (F.col("__n") - 1) / 2.0).drop("__n")
-    return df.join(places, [*keys, value])
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    upto = running_total(counts, keys, [F.col(value)], F.col("__n"), "__upto")
+    ranks = stage(upto.select(*keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name)))
+    return join_checked(df, ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -62,7 +67,8 @@ def max_normalized(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def blended(weights: dict[str, float]) -> Column:
-    """Weighted mean of score columns, clipped to 0..1; a missing score counts as absent."""
-    total = sum(F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for c, w in weights.items())
-    score = sum(F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items())
-    return F.least(F.greatest(F.coalesce(F.try_divide(score, total), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    """Weighted mean of score columns, clipped to 0..1; null unless every score is there (those of all sets are blended)."""
+    total = sum(weights.values())
+    if total <= 0:
+        raise ValueError("weights must add up to more than 0")
+    return clamp(sum(F.col(c) * w for c, w in weights.items()) / total)

@@ -86,10 +86,15 @@ def adjusted_production(lines: DataFrame, positions: DataFrame, leagues: DataFra
     return ranked.withColumns(bonus).withColumn("adjusted_score", F.col("adjusted_ppg") + F.col("adult_bonus") + F.col("playoff_bonus") + F.col("role_bonus"))
 
 
+# What a position adds.
+POSITION_PREMIUM = {"C": 0.06, "RHD": 0.05, "LHD": 0.02, "G": -0.04, "LW": 0.0, "RW": 0.0}
+
+
 def projection(rows: DataFrame) -> DataFrame:
-    """``rows`` (age, ppg, league_factor, height_cm, position, consensus_rank, games) with projection columns.
+    """``rows`` (age, ppg, league_factor, height_cm, position, consensus_rank, games, has_text) with projection columns.
 
-    Missing league factors count 0.9; other missing inputs give no bonus.
+    Missing league factors count 0.9; other missing inputs give no bonus. ``positives`` and ``risks`` are arrays of what drove
+    the projection, in a fixed order.
     """
     age = F.greatest(F.lit(0.0), F.coalesce(18.5 - F.col("age"), F.lit(0.0))) * 0.055
     production = F.least(F.lit(1.0), F.coalesce(F.col("ppg"), F.lit(0.0)) * F.coalesce("league_factor", F.lit(0.9)) / 1.25)
@@ -97,7 +102,12 @@ def projection(rows: DataFrame) -> DataFrame:
     rank = F.col("consensus_rank")
     consensus = F.greatest(F.lit(0.0), F.coalesce((80 - rank) / 80.0, F.lit(0.0))) * 0.32
     over = lambda n, w: F.greatest(F.lit(0.0), F.coalesce((rank - n).cast("double"), F.lit(0.0))) * w
-    out = rows.withColumn("production", production).withColumn("nhl_probability", clamp(0.14 + 0.38 * F.col("production") + consensus + age + size))
+    position = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in POSITION_PREMIUM.items() for x in pair]), F.col("position")), F.lit(0.0))
+    out = rows.withColumn("production", production).withColumn("nhl_probability", clamp(0.14 + 0.38 * F.col("production") + consensus + age + size + position))
     out = out.withColumns({"impact_probability": clamp(0.38 * F.col("nhl_probability") + 0.16 * F.col("production") - over(20, 0.003)), "bust_risk": clamp(1 - F.col("nhl_probability") + over(45, 0.006))})
     value = 7 * F.col("nhl_probability") + 5 * F.col("impact_probability") - 2 * F.col("bust_risk")
-    return out.withColumns({"expected_value": value, "confidence": clamp(0.45 + F.least(F.coalesce("games", F.lit(0)), F.lit(60)) / 180.0)})
+    text = F.when(F.coalesce("has_text", F.lit(False)), 0.08).otherwise(0.0)
+    tags = lambda *pairs: F.array_compact(F.array(*[F.when(c, tag) for c, tag in pairs]))
+    positives = tags((F.col("production") >= 0.65, F.lit("production")), (age > 0.02, F.lit("young")), (position > 0, F.concat(F.lit("position "), F.col("position"))), (size > 0, F.lit("frame")), (rank <= 25, F.lit("consensus")))
+    risks = tags((F.col("production") < 0.45, F.lit("production")), (rank > 40, F.lit("consensus")), ((F.col("height_cm") < 180) & (F.col("position") != "G"), F.lit("size")))
+    return out.withColumns({"expected_value": value, "confidence": clamp(0.45 + F.least(F.coalesce("games", F.lit(0)), F.lit(60)) / 180.0 + text), "positives": positives, "risks": risks})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..sources.sinks import recover_directory, replace_directory
 from ..sources.tables import read_csv_table
 
 # Tables of a dataset, whether it needs them, and their columns.
@@ -86,19 +87,16 @@ def prospects(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def run_once(spark: SparkSession, inputs: DataFrame, state: str, job) -> bool:
-    """Run ``job()`` unless ``state`` (a local or shared file path) records the same fingerprint of ``inputs``.
+    """Run ``job()`` unless ``state`` (a path on any file system that Hadoop knows) records the same fingerprint of ``inputs``.
 
     The state is written after the job, so a run that failed runs again. Returns whether it ran.
     """
     from ..operators.audit import fingerprint
 
     now = fingerprint(inputs).first().asDict()
-    if os.path.exists(state):
-        with open(state) as f:
-            if json.load(f) == now:
-                return False
+    if recover_directory(spark, state) and json.loads(spark.read.text(state).first().value) == now:
+        return False
     job()
-    with open(f"{state}.new", "w") as f:
-        json.dump(now, f)
-    os.replace(f"{state}.new", state)
+    spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{state}.new")
+    replace_directory(spark, f"{state}.new", state)
     return True

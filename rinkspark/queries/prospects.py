@@ -116,15 +116,16 @@ def league_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconciled_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Per player, season, league and stage: each field from the source of highest priority, longest text, first row."""
-    lines = table(spark, d, "season_stat_lines").withColumn("stage", F.col("regular_season"))
-    keys = ["player_id", "season", "league", "stage"]
+    """Per player, season, league, club and stage: each field from the source of highest priority, longest text, first row."""
+    lines = reconcile.with_club(table(spark, d, "season_stat_lines").withColumn("stage", F.col("regular_season")), table(spark, d, "team_aliases"))
+    keys = ["player_id", "season", "league", "club", "stage"]
     fields = ["games", "goals", "assists", "points"]
     return reconcile.prefer_by_priority(lines, keys, fields, reconcile.source_priority(F.col("source")), "line_id")
 
 
 def line_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.conflicts(table(spark, d, "season_stat_lines"), ["player_id", "season", "league", "regular_season"], ["games", "goals", "assists", "points"])
+    lines = reconcile.with_club(table(spark, d, "season_stat_lines"), table(spark, d, "team_aliases"))
+    return reconcile.conflicts(lines, ["player_id", "season", "league", "club", "regular_season"], ["games", "goals", "assists", "points"])
 
 
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +161,7 @@ def board_ranks(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("board_id").orderBy(F.col("board_score").desc_nulls_last(), F.col("player_id").desc()))
     ranked = rows.withColumn("board_rank", place)
     move = F.col("board_rank") - F.col("consensus_rank")
-    label = F.when(F.abs(move) < 10, "aligned").when(move > 0, "consensus higher").when(move < 0, "model higher")
+    label = F.when(move <= -8, "model_higher").when(move >= 8, "consensus_higher").when(move.isNotNull(), "aligned")
     return ranked.select("board_id", "player_id", "board_rank", move.alias("move"), label.alias("disagreement"))
 
 
@@ -170,13 +171,16 @@ def movement_by_role(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blended_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranking.max_normalized(table(spark, d, "board").filter("not isnan(adjusted_ppg)"), "adjusted_ppg", "production")
+    rows = ranking.max_normalized(table(spark, d, "board").withColumn("adjusted_ppg", F.nanvl("adjusted_ppg", F.lit(None).cast("double"))), "adjusted_ppg", "production")
+    rows = rows.withColumn("production", F.when(F.col("adjusted_ppg").isNotNull(), F.col("production")))
     rows = rows.withColumn("consensus", F.when(F.col("consensus_rank").isNotNull(), fn.clamp(1 - (F.col("consensus_rank") - 1) / 224.0)))
-    return rows.select("board_row_id", _q(ranking.blended({"consensus": 0.5, "model_score": 0.3, "production": 0.2}), 6).alias("hybrid"))
+    """Blend of three scores, for the rows that have all of them."""
+    return rows.select("board_row_id", _q(ranking.blended({"consensus": 0.5, "model_score": 0.3, "production": 0.2}), 6).alias("hybrid")).filter("hybrid is not null")
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "players").filter("height_cm between 150 and 220 and weight_kg between 50 and 130")
+    """Every player; the size is null where the cells are no measures in cm and kg (``component_scores`` reads all units)."""
+    p = table(spark, d, "players").withColumns({"height_cm": F.when(F.col("height_cm").between(150, 220), F.col("height_cm")), "weight_kg": F.when(F.col("weight_kg").between(50, 130), F.col("weight_kg"))})
     return p.select("player_id", _q(scoring.size_score(F.col("position"), F.col("height_cm"), F.col("weight_kg")), 6).alias("size"), scoring.hand_score(F.col("position"), F.col("handedness")).alias("hand"), _q(scoring.age_score(F.col("age_at_draft")), 6).alias("age"))
 
 
@@ -194,7 +198,9 @@ def projections(spark: SparkSession, d: str) -> DataFrame:
     totals = table(spark, d, "season_stat_lines").filter("timing = 'pre_draft'").groupBy("player_id").agg(F.sum("games").alias("games"), F.sum("points").alias("points"))
     rows = rows.join(totals, "player_id", "left").withColumn("ppg", F.try_divide(F.col("points"), F.col("games")))
     rows = rows.join(F.broadcast(leagues(spark).select(F.col("league").alias("primary_league"), F.col("league_weight").alias("league_factor"))), "primary_league", "left")
-    return scoring.projection(rows).select("player_id", *[_r(c, 5) for c in ("nhl_probability", "impact_probability", "bust_risk", "expected_value", "confidence")])
+    noted = table(spark, d, "documents").filter("player_id is not null and trim(text) <> ''").select("player_id").distinct().withColumn("has_text", F.lit(True))
+    out = scoring.projection(rows.join(noted, "player_id", "left"))
+    return out.select("player_id", *[_r(c, 5) for c in ("nhl_probability", "impact_probability", "bust_risk", "expected_value", "confidence")], F.concat_ws(";", "positives").alias("positives"), F.concat_ws(";", "risks").alias("risks"))
 
 
 def cross_validated_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +216,7 @@ def cv_folds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_by_column(spark: SparkSession, d: str) -> DataFrame:
-    return audit.missing_counts(table(spark, d, "players").drop("birth_date"))
+    return audit.missing_counts(table(spark, d, "players"))
 
 
 def integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -226,14 +232,15 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, d: str) -> DataFrame:
-    return audit.fingerprint(table(spark, d, "players")).select("n_rows")
+    """Rows and order-free digest of the registry."""
+    return audit.fingerprint(table(spark, d, "players"))
 
 
 def club_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Clubs by role, every pair, with counts and mean age; clubs and roles are small distinct sets."""
-    lines = table(spark, d, "season_stat_lines").filter("season = '2023-24'").join(table(spark, d, "players").select("player_id", scoring.role_of(F.col("position")).alias("role")), "player_id").withColumn("club", alnum_key(F.col("team")))
-    out = agg.dense_grid(lines, ["club"], ["role"], {"players": F.count_distinct("player_id"), "games": F.coalesce(F.sum("games"), F.lit(0))})
-    return out.select("club", "role", "players", "games")
+    """Clubs of each season by role, every pair, with counts; roles are three."""
+    lines = table(spark, d, "season_stat_lines").join(table(spark, d, "players").select("player_id", scoring.role_of(F.col("position")).alias("role")), "player_id").withColumn("club", alnum_key(F.col("team")))
+    out = agg.dense_grid(lines, ["season", "club"], ["role"], {"players": F.count_distinct("player_id"), "games": F.coalesce(F.sum("games"), F.lit(0))})
+    return out.select("season", "club", "role", "players", "games")
 
 
 def document_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -293,10 +300,13 @@ def age_bands(spark: SparkSession, d: str) -> DataFrame:
 _LATEST = "row_number() OVER (PARTITION BY board_id, player_id ORDER BY loaded_at DESC, board_row_id DESC) = 1"
 _LATEST_PLAYER = "row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC, board_row_id DESC) = 1"
 _ROLE = "CASE WHEN position = 'G' THEN 'goalie' WHEN position = 'D' OR position LIKE '%HD' THEN 'defense' ELSE 'forward' END"
-_PRIORITY = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in reconcile.PRIORITY.items()) + " ELSE 15 END"
+_PRIORITY = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in reconcile.PRIORITY.items()) + " ELSE 10 END"
 _ADULT = "CASE WHEN adult_games < 1 THEN 0 WHEN adult_games < 5 THEN 0.12 WHEN adult_games < 10 THEN 0.32 WHEN adult_games < 16 THEN 0.62 ELSE least(1.0, 0.78 + least(adult_games - 16, 24) / 110.0) END"
 _PLAYOFF = "CASE WHEN playoff_games < 1 THEN 0 WHEN playoff_games < 3 THEN 0.18 WHEN playoff_games < 6 THEN 0.42 WHEN playoff_games < 10 THEN 0.68 ELSE least(1.0, 0.82 + least(playoff_games - 10, 15) / 85.0) END"
 _KEY = "lower(regexp_replace(strip_accents(name), '[^A-Za-z0-9]', '', 'g'))"
+_SPELLED = "lower(regexp_replace(strip_accents({}), '[^A-Za-z0-9]', '', 'g'))"
+_CLUBS = f"""WITH al AS (SELECT league, {_SPELLED.format('code')} AS k, min({_SPELLED.format('team')}) AS t FROM team_aliases GROUP BY 1, 2),
+s AS (SELECT s.*, coalesce(al.t, {_SPELLED.format('s.team')}) AS club FROM season_stat_lines s LEFT JOIN al ON al.league = s.league AND al.k = {_SPELLED.format('s.team')})"""
 _CLAMP = "greatest(0.0, least(1.0, {}))"
 
 
@@ -348,10 +358,10 @@ SELECT line_id, player_id, season, source, games, points FROM season_stat_lines
 SELECT coalesce(a.player_id, b.player_id) AS player_id, CASE WHEN a.player_id IS NOT NULL AND b.player_id IS NOT NULL THEN 'covered' WHEN a.player_id IS NOT NULL THEN 'missing' ELSE 'external' END AS status
 FROM (SELECT DISTINCT player_id FROM players) a FULL JOIN (SELECT DISTINCT player_id FROM season_stat_lines WHERE games > 0) b ON a.player_id = b.player_id""",
     "league_context": f"SELECT row_no, r.league, coalesce(adult_league, false) AS adult_league, coalesce(league_weight, 0.7) AS league_weight FROM russian_open_stats_2024 r LEFT JOIN (SELECT * FROM {_LEAGUE_SQL} WHERE league <> 'MKL') x ON x.league = r.league",
-    "reconciled_lines": f"SELECT player_id, season, league, regular_season AS stage, count(*) AS row_count, {', '.join(_field(f) for f in ('games', 'goals', 'assists', 'points'))} FROM (SELECT *, {_PRIORITY} AS p FROM season_stat_lines) GROUP BY 1, 2, 3, 4",
-    "line_conflicts": """
-WITH g AS (SELECT player_id, season, league, regular_season, count(*) AS row_count, """ + ", ".join(f"min({f}) <> max({f}) AS x{f}" for f in ("games", "goals", "assists", "points")) + """ FROM season_stat_lines GROUP BY 1, 2, 3, 4)
-SELECT player_id, season, league, regular_season, row_count, concat_ws('; ', """ + ", ".join(f"CASE WHEN x{f} THEN '{f}' END" for f in ("games", "goals", "assists", "points")) + """) AS conflict_fields FROM g WHERE conflict_fields <> ''""",
+    "reconciled_lines": f"{_CLUBS} SELECT player_id, season, league, club, regular_season AS stage, count(*) AS row_count, {', '.join(_field(f) for f in ('games', 'goals', 'assists', 'points'))} FROM (SELECT *, {_PRIORITY} AS p FROM s) GROUP BY 1, 2, 3, 4, 5",
+    "line_conflicts": _CLUBS + """,
+g AS (SELECT player_id, season, league, club, regular_season, count(*) AS row_count, """ + ", ".join(f"min({f}) <> max({f}) AS x{f}" for f in ("games", "goals", "assists", "points")) + """ FROM s GROUP BY 1, 2, 3, 4, 5)
+SELECT player_id, season, league, club, regular_season, row_count, concat_ws('; ', """ + ", ".join(f"CASE WHEN x{f} THEN '{f}' END" for f in ("games", "goals", "assists", "points")) + """) AS conflict_fields FROM g WHERE conflict_fields <> ''""",
     "repeated_lines": "SELECT board_row_id, board_id, player_id FROM board QUALIFY row_number() OVER (PARTITION BY board_id, player_id, draft_year, name, position, role_group, nationality, primary_league, consensus_rank, model_score, board_score, adjusted_ppg, role_rank, adult_game_share, evidence_depth, badges ORDER BY board_row_id) > 1",
     "season_totals": """
 WITH k AS (SELECT * FROM season_stat_lines QUALIFY row_number() OVER (PARTITION BY player_id, season, league, regular_season ORDER BY games DESC NULLS LAST, line_id) = 1)
@@ -364,52 +374,57 @@ t AS (SELECT hit FROM b WHERE board_score IS NOT NULL ORDER BY board_score DESC,
 SELECT (SELECT round(corr(ra, rb) + 1e-9, 6) FROM r) AS spearman, (SELECT count(*) FILTER (hit) FROM t) AS hits, (SELECT round(CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) + 1e-9, 6) FROM t) AS "precision", (SELECT round(avg(power(CAST(hit AS INTEGER) - model_score, 2)) + 1e-9, 6) FROM b) AS brier""",
     "board_ranks": f"""
 WITH c AS (SELECT * FROM board QUALIFY {_LATEST}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY board_id ORDER BY board_score DESC NULLS LAST, player_id DESC) AS INTEGER) AS board_rank FROM c)
-SELECT board_id, player_id, board_rank, board_rank - consensus_rank AS move, CASE WHEN abs(board_rank - consensus_rank) < 10 THEN 'aligned' WHEN board_rank > consensus_rank THEN 'consensus higher' WHEN board_rank < consensus_rank THEN 'model higher' END AS disagreement FROM r""",
+SELECT board_id, player_id, board_rank, board_rank - consensus_rank AS move, CASE WHEN board_rank - consensus_rank <= -8 THEN 'model_higher' WHEN board_rank - consensus_rank >= 8 THEN 'consensus_higher' WHEN consensus_rank IS NOT NULL THEN 'aligned' END AS disagreement FROM r""",
     "movement_by_role": f"""
 WITH c AS (SELECT * FROM board QUALIFY {_LATEST}), r AS (SELECT board_id, player_id, row_number() OVER (PARTITION BY board_id ORDER BY board_score DESC NULLS LAST, player_id DESC) - consensus_rank AS move FROM c),
-x AS (SELECT {_ROLE} AS role, CASE WHEN abs(move) < 10 THEN 'aligned' WHEN move > 0 THEN 'consensus higher' WHEN move < 0 THEN 'model higher' END AS disagreement, move FROM r JOIN players USING (player_id))
+x AS (SELECT {_ROLE} AS role, CASE WHEN move <= -8 THEN 'model_higher' WHEN move >= 8 THEN 'consensus_higher' WHEN move IS NOT NULL THEN 'aligned' END AS disagreement, move FROM r JOIN players USING (player_id))
 SELECT role, disagreement, count(*) AS players, round(avg(abs(move)) + 1e-9, 6) AS mean_move, CAST(max(abs(move)) AS INTEGER) AS largest_move FROM x GROUP BY 1, 2""",
     "blended_scores": """
-WITH b AS (SELECT * FROM board WHERE adjusted_ppg IS NULL OR NOT isnan(adjusted_ppg)), m AS (SELECT max(round(adjusted_ppg, 3)) AS m FROM b),
-s AS (SELECT board_row_id, model_score, CASE WHEN m > 0 THEN round(adjusted_ppg, 3) / m ELSE 0 END AS prod, greatest(0, least(1, 1 - (consensus_rank - 1) / 224.0)) AS c0, consensus_rank FROM b, m),
-t AS (SELECT *, CASE WHEN consensus_rank IS NULL THEN NULL ELSE c0 END AS cons FROM s)
-SELECT board_row_id, round(greatest(0, least(1, (coalesce(cons, 0) * 0.5 + coalesce(model_score, 0) * 0.3 + coalesce(prod, 0) * 0.2) / (CASE WHEN cons IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN model_score IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN prod IS NOT NULL THEN 0.2 ELSE 0 END))) + 1e-9, 6) AS hybrid FROM t""",
+WITH b AS (SELECT * FROM board WHERE NOT isnan(adjusted_ppg) AND consensus_rank IS NOT NULL AND model_score IS NOT NULL), m AS (SELECT max(round(adjusted_ppg, 3)) AS m FROM board WHERE NOT isnan(adjusted_ppg)),
+s AS (SELECT board_row_id, model_score, CASE WHEN m > 0 THEN round(adjusted_ppg, 3) / m ELSE 0 END AS prod, greatest(0, least(1, 1 - (consensus_rank - 1) / 224.0)) AS cons FROM b, m)
+SELECT board_row_id, round(greatest(0, least(1, cons * 0.5 + model_score * 0.3 + prod * 0.2)) + 1e-9, 6) AS hybrid FROM s""",
     "components": """
-SELECT player_id, round(CASE position WHEN 'G' THEN greatest(0, least(1, (height_cm - 180) / 20.0)) * 0.8 + greatest(0, least(1, (weight_kg - 75) / 20.0)) * 0.2
-  WHEN 'D' THEN greatest(0, least(1, (height_cm - 178) / 18.0)) * 0.7 + greatest(0, least(1, (weight_kg - 72) / 22.0)) * 0.3
+SELECT player_id, round(CASE WHEN height_cm IS NULL THEN NULL WHEN position = 'G' THEN greatest(0, least(1, (height_cm - 180) / 20.0)) * 0.8 + greatest(0, least(1, (weight_kg - 75) / 20.0)) * 0.2
+  WHEN position = 'D' THEN greatest(0, least(1, (height_cm - 178) / 18.0)) * 0.7 + greatest(0, least(1, (weight_kg - 72) / 22.0)) * 0.3
   ELSE greatest(0, least(1, (height_cm - 172) / 18.0)) * 0.65 + greatest(0, least(1, (weight_kg - 68) / 20.0)) * 0.35 END + 1e-9, 6) AS size,
   CAST(CASE WHEN position = 'D' AND handedness = 'R' THEN 1.0 WHEN position = 'G' AND handedness <> '' THEN 0.55 WHEN handedness <> '' THEN 0.5 ELSE 0.35 END AS DOUBLE) AS hand,
   round(CASE WHEN age_at_draft IS NULL THEN NULL ELSE greatest(0, least(1, (18.9 - age_at_draft) / 1.4)) END + 1e-9, 6) AS age
-FROM players WHERE height_cm BETWEEN 150 AND 220 AND weight_kg BETWEEN 50 AND 130""",
+FROM (SELECT * REPLACE (CASE WHEN height_cm BETWEEN 150 AND 220 AND weight_kg BETWEEN 50 AND 130 THEN height_cm END AS height_cm) FROM players)""",
     "projections": f"""
 WITH b AS (SELECT player_id, consensus_rank, primary_league FROM board QUALIFY {_LATEST_PLAYER}),
 t AS (SELECT player_id, sum(games) AS games, CAST(sum(points) AS DOUBLE) / nullif(sum(games), 0) AS ppg FROM season_stat_lines WHERE timing = 'pre_draft' GROUP BY 1),
-i AS (SELECT b.player_id, coalesce(greatest(0, 18.5 - p.age_at_draft), 0) * 0.055 AS ab, least(1.0, coalesce(ppg, 0) * coalesce(league_weight, 0.9) / 1.25) AS prod, CASE WHEN height_cm >= 188 AND position <> 'G' THEN 0.04 ELSE 0 END AS sz, consensus_rank AS r, coalesce(games, 0) AS g
+i AS (SELECT b.player_id, coalesce(greatest(0, 18.5 - p.age_at_draft), 0) * 0.055 AS ab, least(1.0, coalesce(ppg, 0) * coalesce(league_weight, 0.9) / 1.25) AS prod, CASE WHEN height_cm >= 188 AND position <> 'G' THEN 0.04 ELSE 0 END AS sz, consensus_rank AS r, coalesce(games, 0) AS g, position AS pos, height_cm AS h,
+  CASE position WHEN 'C' THEN 0.06 WHEN 'RHD' THEN 0.05 WHEN 'LHD' THEN 0.02 WHEN 'G' THEN -0.04 ELSE 0 END AS pp, CASE WHEN player_id IN (SELECT player_id FROM documents WHERE trim(text) <> '') THEN 0.08 ELSE 0 END AS txt
   FROM b JOIN players p USING (player_id) LEFT JOIN t USING (player_id) LEFT JOIN {_LEAGUE_SQL} ON lg.league = b.primary_league),
-n AS (SELECT *, greatest(0, least(1, 0.14 + 0.38 * prod + coalesce(greatest(0, (80 - r) / 80.0), 0) * 0.32 + ab + sz)) AS nhl FROM i),
+n AS (SELECT *, greatest(0, least(1, 0.14 + 0.38 * prod + coalesce(greatest(0, (80 - r) / 80.0), 0) * 0.32 + ab + sz + pp)) AS nhl FROM i),
 x AS (SELECT *, greatest(0, least(1, 0.38 * nhl + 0.16 * prod - 0.003 * greatest(0, coalesce(r - 20, 0)))) AS imp, greatest(0, least(1, 1 - nhl + 0.006 * greatest(0, coalesce(r - 45, 0)))) AS bust FROM n)
-SELECT player_id, round(nhl + 1e-9, 5) AS nhl_probability, round(imp + 1e-9, 5) AS impact_probability, round(bust + 1e-9, 5) AS bust_risk, round(7 * nhl + 5 * imp - 2 * bust + 1e-9, 5) AS expected_value, round(greatest(0, least(1, 0.45 + least(g, 60) / 180.0)) + 1e-9, 5) AS confidence FROM x""",
+SELECT player_id, round(nhl + 1e-9, 5) AS nhl_probability, round(imp + 1e-9, 5) AS impact_probability, round(bust + 1e-9, 5) AS bust_risk, round(7 * nhl + 5 * imp - 2 * bust + 1e-9, 5) AS expected_value, round(greatest(0, least(1, 0.45 + least(g, 60) / 180.0 + txt)) + 1e-9, 5) AS confidence,
+  concat_ws(';', CASE WHEN prod >= 0.65 THEN 'production' END, CASE WHEN ab > 0.02 THEN 'young' END, CASE WHEN pp > 0 THEN 'position ' || pos END, CASE WHEN sz > 0 THEN 'frame' END, CASE WHEN r <= 25 THEN 'consensus' END) AS positives,
+  concat_ws(';', CASE WHEN prod < 0.45 THEN 'production' END, CASE WHEN r > 40 THEN 'consensus' END, CASE WHEN h < 180 AND pos <> 'G' THEN 'size' END) AS risks FROM x""",
     "cv_folds": f"""
 WITH b AS (SELECT player_id, lower(trim(role_group)) AS role FROM board QUALIFY {_LATEST_PLAYER})
 SELECT player_id, role, CAST((row_number() OVER (PARTITION BY role ORDER BY player_id) - 1) % 5 AS INTEGER) AS fold FROM b""",
-    "missing_by_column": "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL{' OR trim(' + c + ') = ' + chr(39) * 2 if k == 's' else ' OR isnan(' + c + ')' if k == 'd' else ''}) AS missing FROM players" for c, k in (("player_id", "s"), ("name", "s"), ("nationality", "s"), ("position", "s"), ("handedness", "s"), ("height_cm", "i"), ("weight_kg", "i"), ("age_at_draft", "d"), ("source", "s"), ("source_id", "s"), ("source_url", "s"))),
+    "missing_by_column": "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL{' OR trim(' + c + ') = ' + chr(39) * 2 if k == 's' else ' OR isnan(' + c + ')' if k == 'd' else ''}) AS missing FROM players" for c, k in (("player_id", "s"), ("name", "s"), ("birth_date", "i"), ("nationality", "s"), ("position", "s"), ("handedness", "s"), ("height_cm", "i"), ("weight_kg", "i"), ("age_at_draft", "d"), ("source", "s"), ("source_id", "s"), ("source_url", "s"))),
     "integrity": """
 WITH m AS (SELECT 'orphan_lines' AS metric, count(*) AS value FROM season_stat_lines WHERE player_id NOT IN (SELECT player_id FROM players)
   UNION ALL SELECT 'duplicate_players', count(*) - count(DISTINCT player_id) FROM players UNION ALL SELECT 'players', count(*) FROM players),
 l AS (SELECT * FROM (VALUES ('orphan_lines', 0, 0), ('duplicate_players', 0, 0), ('players', 100, NULL), ('teams', 32, NULL)) AS t(metric, low, high))
 SELECT metric, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, CAST(value AS BIGINT) AS value, CASE WHEN value IS NULL THEN 'missing' WHEN (low IS NULL OR value >= low) AND (high IS NULL OR value <= high) THEN 'pass' ELSE 'fail' END AS status FROM l LEFT JOIN m USING (metric)""",
-    "digests": "SELECT count(*) AS n_rows FROM players",
+    "digests": """
+WITH m AS (SELECT md5(concat_ws(chr(31), """ + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted("player_id name birth_date nationality position handedness height_cm weight_kg age_at_draft source source_id source_url".split())) + """)) AS m FROM players),
+s AS (SELECT count(*) AS n, coalesce(sum(CAST('0x' || m[1:15] AS BIGINT)), 0) AS a, coalesce(sum(CAST('0x' || m[16:30] AS BIGINT)), 0) AS b FROM m)
+SELECT n AS n_rows, md5(n || ':' || a || ':' || b) AS digest FROM s""",
     "club_depth": f"""
-WITH l AS (SELECT lower(regexp_replace(strip_accents(team), '[^A-Za-z0-9]', '', 'g')) AS club, player_id, games, {_ROLE} AS role FROM season_stat_lines JOIN players USING (player_id) WHERE season = '2023-24'),
-g AS (SELECT * FROM (SELECT DISTINCT club FROM l) CROSS JOIN (SELECT DISTINCT role FROM l))
-SELECT g.club, g.role, count(DISTINCT player_id) AS players, CAST(coalesce(sum(games), 0) AS BIGINT) AS games FROM g LEFT JOIN l ON l.club = g.club AND l.role = g.role GROUP BY 1, 2""",
+WITH l AS (SELECT lower(regexp_replace(strip_accents(team), '[^A-Za-z0-9]', '', 'g')) AS club, player_id, games, {_ROLE} AS role, season FROM season_stat_lines JOIN players USING (player_id)),
+g AS (SELECT * FROM (SELECT DISTINCT season, club FROM l) CROSS JOIN (SELECT DISTINCT role FROM l))
+SELECT g.season, g.club, g.role, count(DISTINCT player_id) AS players, CAST(coalesce(sum(games), 0) AS BIGINT) AS games FROM g LEFT JOIN l ON l.season = g.season AND l.club = g.club AND l.role = g.role GROUP BY 1, 2, 3""",
     "document_tags": """
 SELECT doc_id, CAST(CASE WHEN lower(text) LIKE '%speed%' THEN 2.0 ELSE 0 END + CASE WHEN lower(text) LIKE '%wrist shot%' THEN 1.5 ELSE 0 END + CASE WHEN lower(text) LIKE '%discipline%' THEN 1.0 ELSE 0 END - CASE WHEN lower(text) LIKE '%risk%' THEN 1.0 ELSE 0 END AS DOUBLE) AS score,
   concat_ws(';', CASE WHEN regexp_matches(lower(text), 'speed|edge work|mobility') THEN 'skating' END, CASE WHEN regexp_matches(lower(text), 'wrist shot|release') THEN 'scoring' END, CASE WHEN regexp_matches(lower(text), 'gap control|slot') THEN 'defending' END) AS tags FROM documents""",
     "typed_cells": """
 SELECT row_no, CASE WHEN regexp_full_match(trim(games), '[+-]?[0-9]+') THEN CAST(trim(games) AS BIGINT) END AS games_strict,
   coalesce(CAST(trunc(CASE WHEN isnan(TRY_CAST(trim(goals) AS DOUBLE)) THEN NULL ELSE TRY_CAST(trim(goals) AS DOUBLE) END) AS BIGINT), 0) AS goals_lenient, lower(trim(regular_season)) IN ('1', 'true', 'yes', 'y') AS regular,
-  season AS season_label, round(CASE WHEN goalie_minutes LIKE '%:%' THEN CAST(split_part(goalie_minutes, ':', 1) AS DOUBLE) + CAST(split_part(goalie_minutes, ':', 2) AS DOUBLE) / 60 ELSE TRY_CAST(trim(goalie_minutes) AS DOUBLE) END + 1e-9, 4) AS minutes FROM russian_open_stats_2024""",
+  CASE WHEN regexp_matches(season, '[0-9]{4}\\s*[-–/]\\s*[0-9]{2,4}') THEN regexp_extract(season, '([0-9]{4})\\s*[-–/]', 1) || '-' || right(regexp_extract(season, '[0-9]{4}\\s*[-–/]\\s*([0-9]{2,4})', 1), 2) ELSE trim(season) END AS season_label, round(CASE WHEN goalie_minutes LIKE '%:%' THEN CAST(split_part(goalie_minutes, ':', 1) AS DOUBLE) + CAST(split_part(goalie_minutes, ':', 2) AS DOUBLE) / 60 ELSE TRY_CAST(trim(goalie_minutes) AS DOUBLE) END + 1e-9, 4) AS minutes FROM russian_open_stats_2024""",
     "name_keys": """
 SELECT player_id, lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) AS name_key, lower(regexp_replace(strip_accents(name), '[^A-Za-z0-9]', '', 'g')) AS person_key,
   lower(strip_accents(name[1]) || strip_accents(list_last(string_split(trim(name), ' ')))) AS initial_key, trim(lower(regexp_replace(strip_accents(name), '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug FROM players""",

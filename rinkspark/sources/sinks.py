@@ -26,23 +26,37 @@ def fixed_decimals(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{digits}f", f"`{c}`")).otherwise(F.lit("")).alias(c) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes])
 
 
+def _paths(spark: SparkSession, *paths: str) -> tuple:
+    out = [spark._jvm.org.apache.hadoop.fs.Path(p.rstrip("/")) for p in paths]
+    return out[0].getFileSystem(spark._jsc.hadoopConfiguration()), *out
+
+
+def recover_directory(spark: SparkSession, target: str) -> bool:
+    """Put the old directory back if a replacement stopped after it was moved aside; whether ``target`` exists then."""
+    fs, at, old = _paths(spark, target, f"{target.rstrip('/')}.old")
+    if not fs.exists(at) and fs.exists(old) and not fs.rename(old, at):
+        raise OSError(f"{target}.old could not be moved back")
+    return fs.exists(at)
+
+
 def replace_directory(spark: SparkSession, staged: str, target: str) -> None:
     """Move ``staged`` to ``target``; the old target is moved aside first and removed last.
 
-    Works on any file system that Hadoop knows. Refuses paths of which one holds the other.
+    Works on any file system that Hadoop knows. Between the two moves there is no target for a moment; if the job stops there,
+    the old one is still whole, and ``recover_directory`` puts it back before the next read or replacement. Refuses paths of
+    which one holds the other.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    a, b = hadoop(staged), hadoop(target)
     if f"{staged.rstrip('/')}/".startswith(f"{target.rstrip('/')}/") or f"{target.rstrip('/')}/".startswith(f"{staged.rstrip('/')}/"):
         raise ValueError("one path holds the other")
-    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, a, b, old = _paths(spark, staged, target, f"{target.rstrip('/')}.old")
     if not fs.exists(a):
         raise FileNotFoundError(staged)
-    old = hadoop(f"{target.rstrip('/')}.old")
-    if fs.exists(b):
+    if recover_directory(spark, target):
         fs.delete(old, True)
-        fs.rename(b, old)
+        if not fs.rename(b, old):
+            raise OSError(f"{target} could not be moved aside")
     if not fs.rename(a, b):
+        recover_directory(spark, target)
         raise OSError(f"{staged} could not be moved to {target}")
     fs.delete(old, True)
 

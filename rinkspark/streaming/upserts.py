@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.linkage import replace_scope
-from ..sources.sinks import replace_directory
+from ..sources.sinks import recover_directory, replace_directory
 
 
 def not_future(rows: DataFrame, column: str, day: str) -> DataFrame:
@@ -17,15 +17,12 @@ def not_future(rows: DataFrame, column: str, day: str) -> DataFrame:
 def upsert_batches(spark: SparkSession, source: str, schema: str, target: str, scope: list[str], checkpoint: str):
     """A started query: every micro-batch of Parquet files below ``source`` replaces its scopes in the table ``target``.
 
-    The table is written beside and moved, so readers see the old or the new one; a batch that is run again after a
-    failure gives the same table.
+    The table is written beside and moved; a batch that is run again after a failure gives the same table. Only a table that
+    does not exist is empty: one that can't be read stops the stream and stays as it is.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        try:
-            base = spark.read.parquet(target)
-        except Exception:
-            base = batch.limit(0)
+        base = spark.read.parquet(target) if recover_directory(spark, target) else batch.limit(0)
         replace_scope(base, batch, scope).write.mode("overwrite").parquet(f"{target}.new")
         replace_directory(spark, f"{target}.new", target)
 
