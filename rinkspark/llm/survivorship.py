@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum_key
-from ..plans.runtime import join_checked, stage
+from ..operators.reconcile import with_club  # noqa: F401  (used with this module)
+from ..plans.runtime import join_checked  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -141,16 +141,3 @@ def conflict_cases(survived: DataFrame, spec: Survivorship, table_name: str) ->
     cases = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"fields.`{f}`.chosen_id").alias("chosen_id"), F.col(f"fields.`{f}`.conflict").alias("conflict")) for f in spec.fields])
     rows = survived.filter("row_count >= 2").select("group_id", F.explode(F.filter(cases, lambda c: c["conflict"])).alias("c"))
     return rows.select(F.lit(table_name).alias("table_name"), "group_id", "c.field_name", "c.chosen_id")
-
-
-def with_club(df: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``df`` with ``club``: the team's letters and digits, a league's code replaced by its team; null without a team.
-
-    Each distinct spelling of a league is read once; the dictionary is joined to the rows, broadcast only if it was counted
-    to be small. ``aliases`` (league, code, team) is reduced to one team per league and code.
-    """
-    codes = aliases.groupBy(F.col("league").alias("__l"), alnum_key(F.col("code")).alias("__key")).agg(F.min(alnum_key(F.col("team"))).alias("__team")).dropna()
-    keyed = df.withColumns({"__l": F.coalesce("league", F.lit("")), "__spelled": F.col("team")})
-    spelled = keyed.select("__l", "__spelled").distinct().filter("__spelled is not null").withColumn("__key", alnum_key(F.col("__spelled")))
-    clubs = join_checked(spelled, codes, ["__l", "__key"], "left").select("__l", "__spelled", F.nullif(F.coalesce("__team", "__key"), F.lit("")).alias("club"))
-    return join_checked(keyed.drop("club"), stage(clubs), ["__l", "__spelled"], "left").drop("__l", "__spelled")
