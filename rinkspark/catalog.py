@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import cleaning, prospects, warehouse
+from .queries import cleaning, modeling, prospects, warehouse
 
-_MODULES = (cleaning, prospects, warehouse)
+_MODULES = (cleaning, prospects, modeling, warehouse)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}

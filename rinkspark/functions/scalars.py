@@ -208,3 +208,59 @@ def json_or_jsonp(text: Column) -> Column:
 
 def first_filled(*values: Column) -> Column:
     return F.coalesce(*[blank_to_null(v.cast("string")) for v in values])
+
+
+# ---- seasons, roles and cells of feeds
+
+
+def season_before(year: Column) -> Column:
+    """The season that ends in ``year``, as ``2018-19``."""
+    return F.concat((year - 1).cast("string"), F.lit("-"), F.substring(year.cast("string"), -2, 2))
+
+
+def season_end(season: Column) -> Column:
+    """1 June of the year in which a season (``2018-19``) ends; null for other texts."""
+    year = F.regexp_extract(season, "^([0-9]{4})-[0-9]{2}$", 1).try_cast("int") + 1
+    return F.make_date(year, F.lit(6), F.lit(1))
+
+
+def foreseen_role(text: Column, position: Column) -> Column:
+    """Role that a text (lower case) foresees."""
+    defense = position.endswith("HD")
+    out = F.when(text.contains("middle-six"), "middle-six forward").when(text.contains("top-six"), "top-six forward").when(text.contains("matchup") & (position == "C"), "matchup center")
+    return out.when(defense & text.contains("transition"), "transition defenseman").when(defense, "two-way defenseman").otherwise("needs role projection review")
+
+
+def comparable(text: Column) -> Column:
+    """A cell as text that is equal for equal numbers (three digits, no trailing zeros), else in lower case; null if blank."""
+    bare = blank_to_null(text)
+    number = bare.try_cast("double")
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", number), "0+$", ""), "[.]$", "")
+    return F.when(F.abs(number) < float("inf"), digits).otherwise(F.lower(bare))
+
+
+def stage_text(text: Column) -> Column:
+    """``false`` for playoffs, else ``true``."""
+    return F.when(F.coalesce(F.lower(F.trim(text)).isin("false", "0", "no", "playoffs", "playoff"), F.lit(False)), "false").otherwise("true")
+
+
+def saves_of(shots: Column, goals: Column) -> Column:
+    """Shots less goals, null unless both are whole numbers."""
+    return whole_strict(shots) - whole_strict(goals)
+
+
+def leading_zero(text: Column) -> Column:
+    """``.915`` as ``0.915``."""
+    return F.regexp_replace(F.trim(text), "^[.]", "0.")
+
+
+def ice_time(text: Column) -> Column:
+    """``MM:SS``, seconds (above 120) or minutes, as minutes."""
+    value = minutes(text)
+    return F.when(~text.contains(":") & (value > 120), value / 60.0).otherwise(value)
+
+
+def born_on(text: Column) -> Column:
+    """The date after ``Born`` (``Born May 14 2001``), month in full or short; null without one."""
+    said = F.regexp_extract(text, "Born ([A-Z][a-z]+ [0-9]{1,2} [0-9]{4})", 1)
+    return F.coalesce(*[F.try_to_timestamp(F.nullif(said, F.lit("")), F.lit(f)).cast("date") for f in ("MMMM d yyyy", "MMM d yyyy")])

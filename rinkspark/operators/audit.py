@@ -51,3 +51,18 @@ def threshold_checks(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     joined = limits.join(metrics, "metric", "left")
     inside = (F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") <= F.col("high")))
     return joined.withColumn("status", F.when(F.col("value").isNull(), "missing").when(inside, "pass").otherwise("fail"))
+
+
+def evidence_depth(rows: Column, leagues: Column) -> Column:
+    """high from three lines or two leagues on, medium for two lines, else low."""
+    return F.when((rows >= 3) | (leagues >= 2), "high").when(rows == 2, "medium").otherwise("low")
+
+
+def pick_priority(pick: Column) -> Column:
+    """How soon a gap should be closed, by the place of the player; standard without one."""
+    return F.when(F.coalesce(pick, F.lit(0)) <= 0, "standard").when(pick <= 32, "critical").when(pick <= 96, "high").when(pick <= 160, "medium").otherwise("standard")
+
+
+def dataset_status(share: Column) -> Column:
+    """Status of a table by the share of its rows that have evidence; empty without rows."""
+    return F.when(share.isNull(), "empty").when(share >= 0.65, "strong").when(share >= 0.35, "usable").otherwise("thin")

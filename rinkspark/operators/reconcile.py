@@ -73,3 +73,15 @@ def with_club(df: DataFrame, aliases: DataFrame) -> DataFrame:
     spelled = keyed.select("__l", "__spelled").distinct().filter("__spelled is not null").withColumn("__key", alnum_key(F.col("__spelled")))
     clubs = join_checked(spelled, codes, ["__l", "__key"], "left").select("__l", "__spelled", F.nullif(F.coalesce("__team", "__key"), F.lit("")).alias("club"))
     return join_checked(keyed.drop("club"), stage(clubs), ["__l", "__spelled"], "left").drop("__l", "__spelled")
+
+
+def merged_labels(df: DataFrame, keys: list[str], labels: str, name: str = "sources", joiner: str = "; ") -> DataFrame:
+    """(keys, ``name``): each group's distinct labels, those of cells of highest priority first, then by name.
+
+    A cell may hold several labels (``;`` or ``+``). Distinct labels are made before the shuffle; their number bounds the list.
+    """
+    cell = F.col(f"`{labels}`")
+    each = df.select(*keys, source_priority(cell).alias("__p"), F.explode(F.split(cell, "[;+]")).alias("__l")).withColumn("__l", F.trim("__l")).filter("__l <> ''")
+    best = each.groupBy(*keys, "__l").agg(F.max("__p").alias("__p"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("__p")).alias("p"), F.col("__l").alias("l"))))
+    return best.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["l"]), joiner).alias(name))
