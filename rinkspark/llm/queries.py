@@ -148,8 +148,18 @@ FROM {rows} GROUP BY player_id, season, league, regular_season, club HAVING coun
 
 _CASES = [_cases_sql("season_stat_lines", "l", "line_id", "tr, loaded_at", f) for f in LINE_FIELDS] + [_cases_sql("stat_reconciliation_audit", "r", "audit_id", "run_at", f) for f in AUDIT_FIELDS]
 
+def _golden_sql() -> str:
+    best = lambda v, f: f"arg_max({v}, (tr, loaded_at, -line_id)) FILTER ({f} IS NOT NULL)"
+    differ = lambda f: f"count({f}) > 0 AND (count({f}) < count(*) OR min({f}) <> max({f}))"
+    return f"""SELECT player_id, season, league, regular_season, club, min(line_id) AS group_id, count(*) AS row_count, {', '.join(f"{best(f, f)} AS {f}" for f in LINE_FIELDS)},
+  coalesce(string_agg(DISTINCT source, '; ' ORDER BY source), '') AS sources, concat_ws('; ', {', '.join(f"CASE WHEN {differ(f)} THEN '{f}' END" for f in LINE_FIELDS)}) AS conflict_fields,
+  concat_ws('; ', {', '.join(f"CASE WHEN count({f}) > 0 THEN '{f}:' || {best('source', f)} END" for f in LINE_FIELDS)}) AS chosen_sources
+FROM l WHERE player_id IS NOT NULL AND season IS NOT NULL AND league IS NOT NULL AND regular_season IS NOT NULL AND club IS NOT NULL GROUP BY 1, 2, 3, 4, 5"""
+
+
 SQL: dict[str, str] = {
     "p1_found": _GROUPED + "\n" + "\nUNION ALL\n".join(_CASES),
+    "p1_golden_lines": _GROUPED + "\n" + _golden_sql(),
     "p7_found": """
 WITH cur AS (
   SELECT *, lower(trim(role_group)) AS rg,
