@@ -202,6 +202,28 @@ def test_bm25_equals_brute_force(spark, monkeypatch, shard, block, seeds):
     assert m.bm25_top(left, right.limit(0), kinds).count() == 0 and m.bm25_top(left.limit(0), right, kinds).count() == 0
 
 
+def shuffled(spark):
+    """Bytes written to shuffles by the session so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_bm25_shuffles_as_much_for_any_number_of_shards(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"{i}", [f"name:{rng.randrange(400)}", *(f"x:{rng.randrange(90)}" for _ in range(20))]) for i in range(800)]
+    left, right = (spark.createDataFrame(rows, f"{k} string, tokens array<string>").repartition(2) for k in ("qid", "rid"))
+    kinds, wrote, found = m.Kinds({"n": {"name": 1.0}, "rest": {"x": 0.5}}), [], []
+    for size in (1_000, 50):
+        monkeypatch.setattr(m, "SHARD_RECORDS", size)
+        monkeypatch.setattr(m, "BLOCK_QUERIES", size)
+        before = shuffled(spark)
+        found.append({(r.qid, r.place, r.rid, round(r.share, 9)) for r in m.bm25_top(left, right, kinds).collect()})
+        wrote.append(shuffled(spark) - before)
+    assert found[0] == found[1] and len(found[0]) >= 800
+    assert wrote[1] < 1.5 * wrote[0], wrote
+
+
 def test_confidence_is_calibrated_without_labels(spark):
     rng = random.Random(2)
     person = lambda: [f"a:{rng.randrange(300)}", f"b:{rng.randrange(300)}", f"c:{rng.randrange(40)}", f"d:{rng.randrange(12)}"]
