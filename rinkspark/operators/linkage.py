@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -14,7 +15,9 @@ from ..functions.text import blank_to_null
 from ..plans.runtime import join_checked, stage, tasks
 
 #: Base keys and source keys that one task of ``closest`` compares.
-SHARD_KEYS, SHARD_ASKED = 20_000, 100
+SHARD_KEYS, SHARD_ASKED = 20_000, 1_000
+#: Columns of the letter table up to which bounds are a matrix product, and queries of one product.
+LETTER_COLUMNS, PRODUCT_QUERIES = 400, 100
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, fallback: dict[str, object], default_key: str = "Unknown") -> DataFrame:
@@ -117,6 +120,10 @@ class Nearest:
         for j, t in enumerate(texts):
             self.codes[: len(t), j] = [self.letters[c] for c in t]
         self.counts = np.stack([(self.codes == i).sum(axis=0, dtype=np.int32) for i in range(1, len(self.letters) + 1)]) if self.letters else None
+        most = [int(n) for n in self.counts.max(axis=1)] if self.letters else []
+        self.columns = [(c, n) for c, i in self.letters.items() for n in range(1, most[i - 1] + 1)] if sum(most) <= LETTER_COLUMNS else None
+        if self.columns:
+            self.table = np.stack([self.counts[self.letters[c] - 1] >= n for c, n in self.columns]).astype(np.float32)
 
     def shared(self, query: str) -> np.ndarray:
         """Letters that each text has in common with ``query``, in any order."""
@@ -137,12 +144,30 @@ class Nearest:
             row = (row + hit) | (row - hit)
         return np.bitwise_count(~row & np.uint64((1 << len(query)) - 1)).astype(np.int64)
 
-    def top(self, query: str, n: int, least: float) -> list[tuple[int, float]]:
-        """(position, ratio) of every text that is ``least`` similar or more and not below the ``n``-th best."""
+    def shared_of_all(self, queries: list[str]) -> Iterator[np.ndarray]:
+        """``shared`` of each query; the smaller count of a letter is the number of n that neither count is below."""
+        for i in range(0, len(queries), PRODUCT_QUERIES):
+            some = queries[i : i + PRODUCT_QUERIES]
+            if self.columns:
+                yield from np.array([[q.count(c) >= n for c, n in self.columns] for q in some], dtype=np.float32) @ self.table
+            else:
+                yield from map(self.shared, some)
+
+    def top(self, query: str, n: int, least: float, best: list[float] | None = None, shared: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """(position, ratio) of every text that is ``least`` similar or more and not below the ``n``-th best.
+
+        ``best`` is a heap of the ``n`` best ratios known of other texts, none under ``least``; it is kept up to date. ``shared``
+        is what ``shared`` gives.
+        """
         total = np.maximum(self.size + len(query), 1)
-        bound = np.where(self.size + len(query) == 0, 1.0, 2.0 * self.shared(query) / total)
+        shared = self.shared(query) if shared is None else shared
         have: dict[int, float] = {}
-        best = [least] * n  # a heap of the n best, none under ``least``
+        best = [least] * n if best is None else best
+        if best[0] > 0:  # few reach what is known: only they are looked at
+            near = np.flatnonzero((2.0 * shared >= best[0] * total * (1 - 1e-9)) | (total <= 1))
+            if len(near) <= 100 * n:
+                return self._scored(query, near, 2.0 * shared[near] / total[near], have, best)
+        bound = np.where(self.size + len(query) == 0, 1.0, 2.0 * shared / total)
 
         def score(j: int) -> None:
             if j not in have:
@@ -155,15 +180,20 @@ class Nearest:
         for k in np.argsort(-order)[: 2 * n]:
             score(int(seeds[k]))
         at = np.flatnonzero(bound >= best[0])
-        if short and len(at):
-            bound = 2.0 * self.in_order(query, at) / total[at]
-            at, bound = at[bound >= best[0]], bound[bound >= best[0]]
-        else:
-            bound = bound[at]
+        return self._scored(query, at, bound[at], have, best)
+
+    def _scored(self, query: str, at: np.ndarray, bound: np.ndarray, have: dict[int, float], best: list[float]) -> list[tuple[int, float]]:
+        """``have``, with the ratios of those of ``at`` whose bound reaches the place still open."""
+        empty = self.size[at] + len(query) == 0
+        if 0 < len(query) <= 64 and len(at):
+            bound = 2.0 * self.in_order(query, at) / np.maximum(self.size[at] + len(query), 1)
+        bound = np.where(empty, 1.0, bound)
         for k in np.argsort(-bound, kind="stable"):
             if bound[k] < best[0]:
                 break
-            score(int(at[k]))
+            if (j := int(at[k])) not in have:
+                have[j] = ratio(query, self.texts[j])
+                heapq.heappushpop(best, have[j])
         return [(j, v) for j, v in have.items() if v >= best[0]]
 
 
@@ -171,8 +201,9 @@ def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, so
     """(source_id, base_id, similarity, place): the ``top`` base rows whose keys are most similar, of all base rows.
 
     Similarity is twice the matched letters by all letters, ``least`` or more; null keys count as empty. Ties go to the
-    smallest base text, then id. Distinct source keys meet distinct base keys in shards of SHARD_ASKED and SHARD_KEYS, which
-    give their ``top`` each; no base row is left out but by an exact bound, so the work grows with the product of both.
+    smallest base text, then id. Distinct source keys are packed into blocks of SHARD_ASKED, distinct base keys into shards of
+    SHARD_KEYS, once each; a task holds blocks and reads shard after shard, whose names must reach the best found before. No
+    base row is left out but by an exact bound, so the work grows with the product of both.
     """
     empty = F.lit("")
     asked = source.select(source_id, F.coalesce(source_key, empty).alias("__a"))
@@ -183,20 +214,30 @@ def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, so
     keys = names.select("__b").distinct()
     of_keys, of_asked = -(-keys.count() // SHARD_KEYS), -(-spellings.count() // SHARD_ASKED)
     cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    left = spellings.withColumn("__q", cut("__a", of_asked)).withColumn("__k", every(of_keys))
-    right = keys.withColumn("__k", cut("__b", of_keys)).withColumn("__q", every(of_asked))
-
-    def run(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asks) and len(have):
-            nearest = Nearest(list(have["__b"]))
-            found = [(q, nearest.texts[j], v) for q in asks["__a"] for j, v in nearest.top(q, top, least)]
-        return pd.DataFrame(found, columns=["__a", "__b", "similarity"])
-
-    n = tasks(left)
-    shards = left.repartition(n, "__q", "__k").groupBy("__q", "__k").cogroup(right.repartition(n, "__q", "__k").groupBy("__q", "__k"))
-    pairs = shards.applyInPandas(run, "__a string, __b string, similarity double").join(names, "__b")
+    blocks = spellings.groupBy(cut("__a", of_asked).alias("__q")).agg(F.collect_list("__a").alias("asks"))  # bounded: SHARD_ASKED, SHARD_KEYS
+    shards = stage(keys.groupBy(cut("__b", of_keys).alias("__k")).agg(F.collect_list("__b").alias("have")), wide=True)
+    n = tasks(spellings)
+    blocks = stage(blocks.repartition(min(n, max(1, of_asked)), "__q"), wide=True)
+    runs = max(1, min(of_keys, -(-n // max(1, min(n, of_asked)))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A shard and a block a row."""
+        shard, best, found = None, {}, {}
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if shard != row.shard:
+                    shard, nearest = row.shard, Nearest(list(row.have))
+                asks = list(row.asks)
+                for q, shared in zip(asks, nearest.shared_of_all(asks)):
+                    heap = best.setdefault(q, [least] * top)
+                    new = [(v, nearest.texts[j]) for j, v in nearest.top(q, top, least, heap, shared)]
+                    if new:
+                        found[q] = [x for x in [*found.get(q, ()), *new] if x[0] >= heap[0]]
+        rows = [(q, b, v) for q, of in found.items() for v, b in of]
+        yield pd.DataFrame(rows, columns=["__a", "__b", "similarity"])
+
+    both = shards.withColumnRenamed("__k", "shard").coalesce(runs).hint("shuffle_replicate_nl").crossJoin(blocks)
+    pairs = both.mapInPandas(run, "__a string, __b string, similarity double").join(names, "__b")
     order = Window.partitionBy("__a").orderBy(F.col("similarity").desc(), "__t", base_id)
     best = pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
     lists = stage(best.groupBy("__a").agg(F.collect_list(F.struct(base_id, "similarity", "place")).alias("__best")))  # ``top`` at most

@@ -95,6 +95,22 @@ def test_closest_equals_brute_force(spark, monkeypatch):
         assert got == {s: want for s, a in asked if (want := _ranked(a, people, top, least))}
 
 
+def test_closest_shuffles_as_much_for_any_number_of_blocks(spark, monkeypatch):
+    from .llm.test_records import shuffled
+
+    rng = np.random.RandomState(5)
+    names = [(i, "".join(rng.choice(list("aeiknrst"), 12))) for i in range(1500)]
+    base, source = spark.createDataFrame(names, "b int, name string"), spark.createDataFrame(names[:200], "s int, a string")
+    wrote, found = [], []
+    for size in (1_000, 10):
+        monkeypatch.setattr(linkage, "SHARD_ASKED", size)
+        before = shuffled(spark)
+        found.append(sorted(linkage.closest(source, base, "s", "b", F.col("a"), F.col("name"), "name", 1, 0.9).collect()))
+        wrote.append(shuffled(spark) - before)
+    assert found[0] == found[1] and len(found[0]) == 200
+    assert wrote[1] < 1.5 * wrote[0], wrote
+
+
 def test_unmatched_candidates_equal_brute_force(spark, small):
     from rinkspark.queries import prospects
 
