@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
-from ..plans.runtime import join_checked, stage, tasks
+from ..plans.runtime import join_checked, stage
+from .similar import Similar, ratio  # noqa: F401
 
-#: Base keys and source keys that one task of ``closest`` compares.
-SHARD_KEYS, SHARD_ASKED = 20_000, 1_000
-#: Columns of the letter table up to which bounds are a matrix product, and queries of one product.
-LETTER_COLUMNS, PRODUCT_QUERIES = 400, 100
+#: Base keys and source keys that one task of ``closest`` compares at once, and source keys for which a task is worth its while.
+SHARD_KEYS, SHARD_ASKED, FEW_ASKED = 1_000_000, 20_000, 250
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, fallback: dict[str, object], default_key: str = "Unknown") -> DataFrame:
@@ -101,109 +97,13 @@ def upsert(base: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return both.select(*[F.col(key) if c == key else pick(c) for c in base.columns])
 
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
-class Nearest:
-    """Texts that are searched for the ones most similar to a query, by upper bounds of ``ratio`` and then by itself.
-
-    Matched letters are a common subsequence, so neither the letters that both texts have nor the longest common
-    subsequence is below them: texts whose bound is under the least similarity that still counts are left out exactly.
-    """
-
-    def __init__(self, texts: list[str]):
-        self.texts = texts
-        self.size = np.array([len(t) for t in texts], dtype=np.int64)
-        self.letters = {c: i for i, c in enumerate(sorted(set("".join(texts))), 1)}
-        self.codes = np.zeros((int(self.size.max(initial=0)), len(texts)), dtype=np.int32)  # by place; 0 is no letter
-        for j, t in enumerate(texts):
-            self.codes[: len(t), j] = [self.letters[c] for c in t]
-        self.counts = np.stack([(self.codes == i).sum(axis=0, dtype=np.int32) for i in range(1, len(self.letters) + 1)]) if self.letters else None
-        most = [int(n) for n in self.counts.max(axis=1)] if self.letters else []
-        self.columns = [(c, n) for c, i in self.letters.items() for n in range(1, most[i - 1] + 1)] if sum(most) <= LETTER_COLUMNS else None
-        if self.columns:
-            self.table = np.stack([self.counts[self.letters[c] - 1] >= n for c, n in self.columns]).astype(np.float32)
-
-    def shared(self, query: str) -> np.ndarray:
-        """Letters that each text has in common with ``query``, in any order."""
-        out = np.zeros(len(self.texts), dtype=np.int64)
-        for c in set(query) & set(self.letters):
-            out += np.minimum(self.counts[self.letters[c] - 1], query.count(c))
-        return out
-
-    def in_order(self, query: str, at: np.ndarray) -> np.ndarray:
-        """Longest common subsequence of ``query`` (64 letters at most) with the texts ``at``: bit i of a row is its letter i."""
-        masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
-        for i, c in enumerate(query):
-            if c in self.letters:
-                masks[self.letters[c]] |= np.uint64(1 << i)
-        row = np.full(len(at), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for place in self.codes[: self.size[at].max(initial=0)]:
-            hit = row & masks[place[at]]
-            row = (row + hit) | (row - hit)
-        return np.bitwise_count(~row & np.uint64((1 << len(query)) - 1)).astype(np.int64)
-
-    def shared_of_all(self, queries: list[str]) -> Iterator[np.ndarray]:
-        """``shared`` of each query; the smaller count of a letter is the number of n that neither count is below."""
-        for i in range(0, len(queries), PRODUCT_QUERIES):
-            some = queries[i : i + PRODUCT_QUERIES]
-            if self.columns:
-                yield from np.array([[q.count(c) >= n for c, n in self.columns] for q in some], dtype=np.float32) @ self.table
-            else:
-                yield from map(self.shared, some)
-
-    def top(self, query: str, n: int, least: float, best: list[float] | None = None, shared: np.ndarray | None = None) -> list[tuple[int, float]]:
-        """(position, ratio) of every text that is ``least`` similar or more and not below the ``n``-th best.
-
-        ``best`` is a heap of the ``n`` best ratios known of other texts, none under ``least``; it is kept up to date. ``shared``
-        is what ``shared`` gives.
-        """
-        total = np.maximum(self.size + len(query), 1)
-        shared = self.shared(query) if shared is None else shared
-        have: dict[int, float] = {}
-        best = [least] * n if best is None else best
-        if best[0] > 0:  # few reach what is known: only they are looked at
-            near = np.flatnonzero((2.0 * shared >= best[0] * total * (1 - 1e-9)) | (total <= 1))
-            if len(near) <= 100 * n:
-                return self._scored(query, near, 2.0 * shared[near] / total[near], have, best)
-        bound = np.where(self.size + len(query) == 0, 1.0, 2.0 * shared / total)
-
-        def score(j: int) -> None:
-            if j not in have:
-                have[j] = ratio(query, self.texts[j])
-                heapq.heappushpop(best, have[j])
-
-        short = 0 < len(query) <= 64
-        seeds = np.argpartition(-bound, 100 * n)[: 100 * n] if len(bound) > 100 * n else np.arange(len(bound))
-        order = self.in_order(query, seeds) / total[seeds] if short and len(seeds) else bound[seeds]
-        for k in np.argsort(-order)[: 2 * n]:
-            score(int(seeds[k]))
-        at = np.flatnonzero(bound >= best[0])
-        return self._scored(query, at, bound[at], have, best)
-
-    def _scored(self, query: str, at: np.ndarray, bound: np.ndarray, have: dict[int, float], best: list[float]) -> list[tuple[int, float]]:
-        """``have``, with the ratios of those of ``at`` whose bound reaches the place still open."""
-        empty = self.size[at] + len(query) == 0
-        if 0 < len(query) <= 64 and len(at):
-            bound = 2.0 * self.in_order(query, at) / np.maximum(self.size[at] + len(query), 1)
-        bound = np.where(empty, 1.0, bound)
-        for k in np.argsort(-bound, kind="stable"):
-            if bound[k] < best[0]:
-                break
-            if (j := int(at[k])) not in have:
-                have[j] = ratio(query, self.texts[j])
-                heapq.heappushpop(best, have[j])
-        return [(j, v) for j, v in have.items() if v >= best[0]]
-
-
 def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, source_key: Column, base_key: Column, base_text: str, top: int = 3, least: float = 0.0) -> DataFrame:
     """(source_id, base_id, similarity, place): the ``top`` base rows whose keys are most similar, of all base rows.
 
     Similarity is twice the matched letters by all letters, ``least`` or more; null keys count as empty. Ties go to the
-    smallest base text, then id. Distinct source keys are packed into blocks of SHARD_ASKED, distinct base keys into shards of
-    SHARD_KEYS, once each; a task holds blocks and reads shard after shard, whose names must reach the best found before. No
-    base row is left out but by an exact bound, so the work grows with the product of both.
+    smallest base text, then id. Distinct source keys are packed into blocks, one a core or more (SHARD_ASKED keys at most),
+    distinct base keys into shards of SHARD_KEYS, once each; a task holds a block and reads shard after shard, whose names must
+    reach the best found before. No base row is left out but by an exact bound.
     """
     empty = F.lit("")
     asked = source.select(source_id, F.coalesce(source_key, empty).alias("__a"))
@@ -212,13 +112,13 @@ def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, so
     names = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= top).drop("__n")
     names, spellings = stage(names), stage(asked.select("__a").distinct())
     keys = names.select("__b").distinct()
-    of_keys, of_asked = -(-keys.count() // SHARD_KEYS), -(-spellings.count() // SHARD_ASKED)
+    cores, asks = source.sparkSession.sparkContext.defaultParallelism, spellings.count()
+    of_keys, of_asked = -(-keys.count() // SHARD_KEYS), max(-(-asks // SHARD_ASKED), min(cores, -(-asks // FEW_ASKED)))
     cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n))).cast("int")
     blocks = spellings.groupBy(cut("__a", of_asked).alias("__q")).agg(F.collect_list("__a").alias("asks"))  # bounded: SHARD_ASKED, SHARD_KEYS
     shards = stage(keys.groupBy(cut("__b", of_keys).alias("__k")).agg(F.collect_list("__b").alias("have")), wide=True)
-    n = tasks(spellings)
-    blocks = stage(blocks.repartition(min(n, max(1, of_asked)), "__q"), wide=True)
-    runs = max(1, min(of_keys, -(-n // max(1, min(n, of_asked)))))
+    blocks = stage(blocks.repartitionByRange(max(1, of_asked), "__q"), wide=True)
+    runs = max(1, min(of_keys, -(-cores // max(1, of_asked))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A shard and a block a row."""
@@ -226,13 +126,14 @@ def closest(source: DataFrame, base: DataFrame, source_id: str, base_id: str, so
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if shard != row.shard:
-                    shard, nearest = row.shard, Nearest(list(row.have))
+                    shard, texts = row.shard, Similar(list(row.have))
                 asks = list(row.asks)
-                for q, shared in zip(asks, nearest.shared_of_all(asks)):
-                    heap = best.setdefault(q, [least] * top)
-                    new = [(v, nearest.texts[j]) for j, v in nearest.top(q, top, least, heap, shared)]
-                    if new:
-                        found[q] = [x for x in [*found.get(q, ()), *new] if x[0] >= heap[0]]
+                for q in asks:
+                    best.setdefault(q, [least] * top)
+                for q, have in texts.top(asks, best).items():
+                    of = [*found.get(q, ()), *((v, b) for b, v in have.items())]
+                    if of:
+                        found[q] = [x for x in of if x[0] >= best[q][0]]
         rows = [(q, b, v) for q, of in found.items() for v, b in of]
         yield pd.DataFrame(rows, columns=["__a", "__b", "similarity"])
 

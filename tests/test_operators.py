@@ -279,3 +279,47 @@ def test_streamed_upserts(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "a", 1), (2, "b", 9)}
     dated = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2025, 1, 1)), (3, None)], "i int, d date")
     assert {r.i for r in upserts.not_future(dated, "d", "2024-06-01").collect()} == {1, 3}
+
+
+def test_similar_equals_brute_force(monkeypatch):
+    from rinkspark.operators import similar
+
+    rng = np.random.RandomState(11)
+    words = ["".join(rng.choice(list("aeiknrstö"), rng.randint(2, 5))) for _ in range(25)]
+    texts = {"".join(rng.choice(words, rng.randint(1, 5))) for _ in range(900)}
+    texts |= {"", "a", "aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 70, "x" * 69 + "y", "𝒶𝓃𝓃", "".join(map(chr, range(0x4E00, 0x4F40))), *(chr(0x4E00 + i) + "nn" for i in range(300))}
+    queries = [*(f"{a[3:]}{a[:3]}{b[:2]}" for a, b in zip(sorted(texts)[::25], sorted(texts)[5::25])), "", "a", "zzz", "x" * 68 + "yz", "aaaaaaaaaaaaaa", "nn𝒶", "".join(map(chr, range(0x4E05, 0x4E40))), *(t[1:] + "k" for t in sorted(texts)[::80])]
+    queries, texts = sorted(set(queries)), sorted(texts)
+    scores = {q: {t: similar.ratio(q, t) for t in texts} for q in queries}
+    want = {q: sorted(of.values())[-3:] for q, of in scores.items()}
+    for sizes in ({}, {"TREE_TEXTS": 40, "NODE_TEXTS": 2, "MANY": 5, "COUNTED": 100, "PAIRS": 1000}, {"NODE_TEXTS": 300, "TIMES": 1, "PIECES": (1, 2, 9)}):
+        with monkeypatch.context() as m:
+            for name, value in sizes.items():
+                m.setattr(similar, name, value)
+            for shards in (1, 3):
+                best, found = {q: [0.0] * 3 for q in queries}, {q: {} for q in queries}
+                for k in range(shards):
+                    for q, have in similar.Similar(texts[k::shards]).top(queries, best).items():
+                        assert not found[q].keys() & have.keys()
+                        found[q] |= have
+                for q in queries:
+                    assert sorted(best[q]) == want[q]
+                    assert {t for t, v in found[q].items() if v >= best[q][0]} == {t for t, v in scores[q].items() if v >= want[q][0]}
+            high = {q: [0.8] for q in queries}
+            for q, have in similar.Similar(texts).top(queries, high).items():
+                assert {t for t, v in have.items() if v >= high[q][0]} == {t for t, v in scores[q].items() if v >= max(0.8, want[q][2])}
+
+
+def test_similar_looks_at_few_texts(monkeypatch):
+    from rinkspark.operators import similar
+
+    rng = np.random.RandomState(12)
+    words = ["".join(rng.choice(list(letters), 1)[0] for letters in ("bdfgklmnprstvz", "aeiou", "lmnrst")) for _ in range(60)]
+    texts = sorted({"".join(rng.choice(words, 5)) for _ in range(20_000)})
+    queries, looked, step = [t[:7] + t[8:] for t in texts[::400]], [], similar.Asked.step
+    monkeypatch.setattr(similar.Asked, "step", lambda self, row, q, letter: looked.append(len(row)) or step(self, row, q, letter))
+    monkeypatch.setattr(similar.Counted, "__init__", lambda *_: pytest.fail("all texts were looked at"))
+    best = {q: [0.0] * 3 for q in queries}
+    similar.Similar(texts).top(queries, best)
+    assert sum(looked) < 1.5 * len(texts) * len(queries), sum(looked) / len(texts) / len(queries)  # a tenth of 15 letters each
+    assert all(best[q] == sorted(similar.ratio(q, t) for t in texts)[-3:] for q in queries[:2])
